@@ -28,7 +28,8 @@ def statistics(text: str | None) -> list[float]:
     raw = np.bincount(np.frombuffer(text.encode(), np.uint8), minlength=256)
     size = max(1, int(raw.sum()))
     words = text.split()
-    n = max(1, len(words))
+    n = len(words) + 8  # shares of few words or lines count less
+    n_lines = text.count("\n") + 4
     counts: dict[str, int] = {}
     for w in words:
         counts[w] = counts.get(w, 0) + 1
@@ -48,12 +49,12 @@ def statistics(text: str | None) -> list[float]:
         root((raw[44] + raw[46]) / n),
         root(raw[124] / n),
         root(len(lines) / n),
-        root(len(counts) / n),
-        root(max(counts.values(), default=0) / n),
+        root((len(counts) + 8) / n),
+        root(max(0, max(counts.values(), default=0) - 1) / n),
         root(sum([a == b for a, b in zip(words, words[1:])]) / n),
-        root(sum([w[0].isupper() for w in words]) / n),
+        root(sum([w[0].isupper() for w in words]) / max(1, len(words))),
         root(ends / n),
-        root(1 - len(set(lines)) / len(lines)),
+        root((len(lines) - len(set(lines))) / n_lines),
         root(raw[128:].sum() / size),
     ]
 

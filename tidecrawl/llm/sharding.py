@@ -141,7 +141,7 @@ def shard_documents(docs: DataFrame, shards: int | None = 16, capacity: int | No
     cells = cells.select("whole", "salt", F.coalesce(before, F.lit(0)).alias("base"))
     ranked = groups.withColumn("k", F.row_number().over(Window.partitionBy("whole", "salt").orderBy("key")) - 1)
     ranked = ranked.join(cells, ["whole", "salt"]).select("key", "whole", (F.col("base") + F.col("k")).alias("rank"))
-    placed = ranked.join(plan, (ranked.whole == plan.whole) & (ranked.rank >= plan.first) & (ranked.rank < plan.end)).select("key", "shard")
+    placed = ranked.join(plan, (ranked["whole"] == plan["whole"]) & (ranked["rank"] >= plan["first"]) & (ranked["rank"] < plan["end"])).select("key", "shard")
     placed = stage(rows.join(placed, "key").select("doc_id", "size", "text_crc32", "shard", F.pmod(F.xxhash64("doc_id", "key"), F.lit(SLOT_BUCKETS)).alias("bucket")), "placed")
 
     counts = placed.groupBy("shard", "bucket").agg(F.count("*").alias("n"))

@@ -35,6 +35,11 @@ def prf(key: str, *parts) -> Column:
     return F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long")
 
 
+def let(value: Column, use) -> Column:
+    """use(v) with the value taken once: lambdas would evaluate the expression anew for each element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def letters(x: Column) -> Column:
     return F.when(F.length(x) == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.substring(x, i, F.lit(1))))
 
@@ -58,29 +63,32 @@ def permuted(x: Column, key: str, alphabets: tuple[str, ...] = TEXT) -> Column:
     half = F.floor(F.length(x) / 2).cast("int")
     start = F.struct(F.substring(x, F.lit(1), half).alias("l"), F.substring(x, half + 1, F.length(x)).alias("r"))
     rounds = F.sequence(F.lit(1), F.lit(ROUNDS))
-    end = F.aggregate(rounds, start, lambda s, k: F.struct(s["r"].alias("l"), turned(s["l"], s["r"], k, key, alphabets).alias("r")))
-    return F.concat(end["l"], end["r"])
+    return F.aggregate(rounds, start, lambda s, k: F.struct(s["r"].alias("l"), turned(s["l"], s["r"], k, key, alphabets).alias("r")), lambda s: F.concat(s["l"], s["r"]))
 
 
-def permuted_pair(l: Column, r: Column, sizes: tuple[int, int], key: str) -> Column:
-    """A bijection on pairs below the two sizes: struct(l, r)."""
+def permuted_pair(l: Column, r: Column, sizes: tuple[int, int], key: str, finish) -> Column:
+    """finish(struct(l, r)) of a bijection on pairs below the two sizes."""
 
     def rounds(s, k):
         left = F.pmod(s["l"] + prf(key, k, "l", s["r"]), F.lit(sizes[0]))
-        return F.struct(left.alias("l"), F.pmod(s["r"] + prf(key, k, "r", left), F.lit(sizes[1])).alias("r"))
+        return let(left, lambda v: F.struct(v.alias("l"), F.pmod(s["r"] + prf(key, k, "r", v), F.lit(sizes[1])).alias("r")))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS // 2)), F.struct(l.cast("long").alias("l"), r.cast("long").alias("r")), rounds, finish)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS // 2)), F.struct(l.cast("long").alias("l"), r.cast("long").alias("r")), rounds)
 
+def refilled(shape: Column, value: Column) -> Column:
+    """shape with its digits, in order, replaced by those of value."""
+    return let(value, lambda digits: _refilled(shape, digits))
 
-def refilled(shape: Column, digits: Column) -> Column:
-    """shape with its digits, in order, replaced."""
+
+def _refilled(shape: Column, digits: Column) -> Column:
     start = F.struct(F.lit("").alias("out"), F.lit(1).alias("k"))
 
     def put(s, c):
         number = c.rlike("[0-9]")
         return F.struct(F.concat(s["out"], F.when(number, F.substring(digits, s["k"], F.lit(1))).otherwise(c)).alias("out"), (s["k"] + number.cast("int")).alias("k"))
 
-    return F.aggregate(letters(shape), start, put)["out"]
+    return F.aggregate(letters(shape), start, put, lambda s: s["out"])
 
 
 def luhn(digits: Column, from_right: int) -> Column:
@@ -108,7 +116,7 @@ def kind_of(x: Column) -> Column:
     """The kind of a found value after validation; null if it fails."""
     date = date_of(x)
     inside = date.isNotNull() & (F.datediff(date, F.lit(DAY_ZERO).cast("date")).between(0, DAYS[0] * DAYS[1] - 1))
-    checks = {"date": inside, "card": luhn(only_digits(x), 0) % 10 == 0}
+    checks = {"date": inside, "card": let(only_digits(x), lambda d: luhn(d, 0)) % 10 == 0}
     out = F.lit(None).cast("string")
     for name, pattern in reversed(list(KINDS.items())):
         found = x.rlike(f"^(?:{pattern})$")
@@ -123,22 +131,21 @@ def pseudonym(x: Column, kind: Column, key: str) -> Column:
     email = F.concat(permuted(local, f"{key}email"), F.substring(x, F.length(local) + 1, F.length(x)))
 
     octets = F.transform(F.split(x, r"\."), lambda o: o.cast("int"))
-    pair = permuted_pair(octets[0] * 256 + octets[1], octets[2] * 256 + octets[3], (65536, 65536), f"{key}ip")
-    ip = F.concat_ws(".", *[c.cast("string") for c in (F.floor(pair["l"] / 256), pair["l"] % 256, F.floor(pair["r"] / 256), pair["r"] % 256)])
+    dotted = lambda s: F.concat_ws(".", *[c.cast("string") for c in (F.floor(s["l"] / 256), s["l"] % 256, F.floor(s["r"] / 256), s["r"] % 256)])
+    ip = let(octets, lambda o: permuted_pair(o[0] * 256 + o[1], o[2] * 256 + o[3], (65536, 65536), f"{key}ip", dotted))
 
-    date = date_of(x)
-    day = F.datediff(date, F.lit(DAY_ZERO).cast("date"))
-    moved = permuted_pair(F.floor(day / DAYS[1]), day % DAYS[1], DAYS, f"{key}date")
-    moved = F.date_add(F.lit(DAY_ZERO).cast("date"), (moved["l"] * DAYS[1] + moved["r"]).cast("int"))
     first = F.try_to_timestamp(x, F.lit("dd/MM/yyyy")).isNotNull()
-    day_out = F.when(x.contains("-"), F.date_format(moved, "yyyy-MM-dd")).when(x.contains("."), F.date_format(moved, "dd.MM.yyyy")).when(first, F.date_format(moved, "dd/MM/yyyy")).otherwise(F.date_format(moved, "MM/dd/yyyy"))
+    day_of = lambda s: F.date_add(F.lit(DAY_ZERO).cast("date"), (s["l"] * DAYS[1] + s["r"]).cast("int"))
+    moved = let(F.datediff(date_of(x), F.lit(DAY_ZERO).cast("date")), lambda d: permuted_pair(F.floor(d / DAYS[1]), d % DAYS[1], DAYS, f"{key}date", day_of))
+    styled = lambda m: F.when(x.contains("-"), F.date_format(m, "yyyy-MM-dd")).when(x.contains("."), F.date_format(m, "dd.MM.yyyy")).when(first, F.date_format(m, "dd/MM/yyyy")).otherwise(F.date_format(m, "MM/dd/yyyy"))
+    day_out = let(moved, styled)
 
     code = F.length(only_digits(F.regexp_extract(x, r"^\+(\d{1,3})(?=\D)", 1)))  # a country code stays
     phone = refilled(x, F.concat(F.substring(digits, F.lit(1), code), permuted(F.substring(digits, code + 1, F.length(digits)), f"{key}phone", (DIGITS,))))
     ssn = refilled(x, permuted(digits, f"{key}ssn", (DIGITS,)))
 
     body = F.concat(F.substring(digits, 1, 1), permuted(F.substring(digits, F.lit(2), F.length(digits) - 2), f"{key}card", (DIGITS,)))
-    card = refilled(x, F.concat(body, F.pmod(-luhn(body, 1), F.lit(10)).cast("string")))
+    card = refilled(x, let(body, lambda d: F.concat(d, F.pmod(-luhn(d, 1), F.lit(10)).cast("string"))))
 
     head = F.regexp_extract(x, "^[^\"']*[\"']", 0)
     value = F.substring(x, F.length(head) + 1, F.length(x) - F.length(head) - 1)

@@ -246,7 +246,7 @@ def similar_components(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10)
     queries = asks.join(width, ["g", "part"]).select("cid", "g", "part", F.pmod(F.xxhash64("cid"), "salts").cast("int").alias("salt"), F.lit(True).alias("asks"))
 
     needed = stage(home.select("cid").union(asks.select("cid")).distinct().join(classes, "cid").select("cid", F.col("rep").alias("doc_id")), "needed")
-    texts = rows.join(needed.hint("merge"), "doc_id")  # how many are needed grows with docs
+    texts = rows.join(needed.hint("merge"), "doc_id")  # how many are needed grows with docs: no broadcast
     found = texts.mapInArrow(lambda b: tokenised(b, k), "cid long, tokens binary")
     if docs.select("doc_id").isEmpty():
         found = found.limit(0)

@@ -1,17 +1,17 @@
 """Similarity join on word shingles with a token-group matrix.
 
-Equal shingle sets are one set from the start. A set's hashed shingles are cut into parts; two sets within the
-threshold have fewer differences than parts, so they agree on a whole part. The parts' signatures are the rows of the
-matrix. Sets that share signatures form groups; a group too large for a task is cut into several. The matrix
-(signature, group) names for each query set the groups that may hold a partner. There the query's overlap with the
-stored union of the group's shingles bounds every similarity, and only groups that pass are opened and compared
-member by member. All steps are exact; every link between different sets joins its components.
+Equal shingle sets are one set from the start. All shingles have one order, common ones last; sets within the
+threshold share several of their first shingles, by the prefix principle. Those are the rows of the matrix. Sets are
+partitioned into groups around sets with which they share most rows; a group too large for a task is cut into several.
+The matrix (row, group) gives each query set's overlap with every group, and a group with less than the threshold
+needs is never looked at. Where a query arrives, its overlap with the stored union of the group's shingles bounds
+every similarity; only groups that pass are opened and compared member by member. The order decides how much work
+there is, never the result: every link between different sets joins its components.
 """
 
 from __future__ import annotations
 
 import hashlib
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +22,10 @@ from tidecrawl.llm.common import U, components, flat, hashed_words, mix, separat
 
 WORD = separators((0x20, 0x20), (0x09, 0x0D))
 SLICE_BYTES = 4 << 20
+SHARED = 4  # rows that a query and a partner share at least
+LOCAL, COMMON, MOST_COMMON = 3, 16, 50_000  # a common shingle's count in a slice and in all; entries of the list
 GROUP_TOKENS = 1 << 18
 QUERIES_PER_SALT = 4096
-LEVELS = 3
 
 
 def sets_of(column, k: int):
@@ -48,82 +49,75 @@ def sets_of(column, k: int):
         at += c
 
 
-class Parts:
-    """Size classes, the number of parts of each, and signatures, for the threshold num/den."""
+def needed(n: int, num: int, den: int) -> int:
+    """ceil(n * num / den)"""
+    return -(-n * num // den)
 
-    def __init__(self, num: int, den: int) -> None:
-        self.num, self.den = num, den
-        tops = list(range(1, 10))
-        while tops[-1] < 1 << 40:
-            tops.append(tops[-1] * 27 // 20)
-        self.tops = np.array(tops)
 
-    def differences(self, c: int) -> int:
-        """The most elements that a set of class c and a partner of its size or larger can differ in."""
-        top = int(self.tops[c])
-        return (self.den - self.num) * (top + top * self.den // self.num) // (self.den + self.num)
+def common_shingles(rows: DataFrame, k: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most common shingles, sorted, and the logarithms of their counts.
 
-    def classes(self, n: int) -> list[int]:
-        """A set's own class, then the lower ones that a smaller partner may be in."""
-        own = int(np.searchsorted(self.tops, n))
-        least = -(-n * self.num // self.den)
-        low = int(np.searchsorted(self.tops, least))
-        return [own, *range(low, own)]
+    Each slice of documents counts its own shingles and reports those that occur in LOCAL or more of its documents;
+    reports are summed. The list, of at most most entries, only orders shingles, so a missed one costs time, not links.
+    """
 
-    def bounds(self, parts: int) -> np.ndarray:
-        return _bounds(parts)
+    def count(batches):
+        for batch in slices(batches, "text", SLICE_BYTES):
+            tokens, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets_of(batch.column("text"), k)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[n >= LOCAL].view(np.int64)), pa.array(n[n >= LOCAL].astype(np.int64))], names=["token", "n"])
 
-    def signatures(self, tokens: np.ndarray, c: int, level: int = 0, salt: int = 0) -> np.ndarray:
-        """One signature for each part. An empty part tells nothing, so its place is taken by a further partition."""
-        parts = self.differences(c) + 1
-        hashed = np.sort(mix(tokens + U(0xA0761D6478BD642F * (level + 1) & (1 << 64) - 1)))
-        at = np.searchsorted(hashed, _bounds(parts))
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(hashed))))
-        size = np.diff(at)
-        tag = mix(np.arange(parts, dtype=np.uint64) + U((c << 32 | level << 24) + 1) + U(salt))
-        sigs = mix((sums[at[1:]] - sums[at[:-1]]) ^ tag) + size.astype(np.uint64)
-        if level + 1 < LEVELS and not size.all():
-            empty = np.flatnonzero(size == 0)
-            return np.concatenate((sigs[size > 0], *(self.signatures(tokens, c, level + 1, int(tag[p])) for p in empty)))
-        return sigs
+    counts = rows.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    found = counts.where(F.col("n") >= COMMON).orderBy(F.desc("n"), "token").limit(most).toPandas()
+    tokens = found["token"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(tokens)
+    return tokens[order], np.minimum(63, np.log2(np.maximum(2, found["n"].to_numpy(np.int64))).astype(np.uint64))[order]
 
 
-@cache
-def _bounds(parts: int) -> np.ndarray:
-    return np.array([min(p * (1 << 64) // parts, (1 << 64) - 1) for p in range(parts)] + [(1 << 64) - 1], np.uint64)
+def prefix(tokens: np.ndarray, common: tuple[np.ndarray, np.ndarray], num: int, den: int) -> np.ndarray:
+    """The first shingles of a set in the order of all shingles, as their places: two sets within the threshold share
+    SHARED of them, or as many as their sizes allow."""
+    place = mix(tokens + U(0xA0761D6478BD642F)) >> U(6)
+    if len(common[0]):
+        at = np.minimum(np.searchsorted(common[0], tokens), len(common[0]) - 1)
+        place |= np.where(common[0][at] == tokens, common[1][at], U(0)) << U(58)
+    n, least = len(tokens), needed(len(tokens), num, den)
+    size = min(n, n - least + min(SHARED, least))
+    return np.partition(place, size - 1)[:size]
 
 
-SETS_DDL = "doc_id long, n_shingles long, cid long, own array<long>, lower array<long>"
+SETS_DDL = "doc_id long, n_shingles long, cid long, rows array<long>"
 
 
-def signed(batches, k: int, parts: Parts):
-    """doc rows -> (doc_id, set size, class id, signatures to store, signatures to ask for only)."""
+def signed(batches, k: int, common: tuple[np.ndarray, np.ndarray], num: int, den: int):
+    """doc rows -> (doc_id, set size, class id, matrix rows of the set unless this task gave them before)."""
     seen: set[int] = set()
     for batch in slices(batches, "text", SLICE_BYTES):
-        sizes, cids, own, lower = [], [], [], []
+        sizes, cids, rows = [], [], []
         for tokens in sets_of(batch.column("text"), k):
             n = len(tokens)
             sizes.append(n)
-            cid = int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True) if n else None
+            cid = class_id(tokens)
             cids.append(cid)
             if not n or cid in seen:
-                own.append(None)
-                lower.append(None)
+                rows.append(None)
                 continue
             seen.add(cid)
             if len(seen) > 500_000:
                 seen.clear()
-            first, *others = parts.classes(n)
-            own.append(parts.signatures(tokens, first).view(np.int64))
-            lower.append(np.concatenate([parts.signatures(tokens, c) for c in others]).view(np.int64) if others else None)
-        kind = pa.list_(pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(cids, pa.int64()), pa.array(own, kind), pa.array(lower, kind)], names=["doc_id", "n_shingles", "cid", "own", "lower"])
+            rows.append(prefix(tokens, common, num, den).view(np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(cids, pa.int64()), pa.array(rows, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "cid", "rows"])
+
+
+def class_id(tokens: np.ndarray) -> int | None:
+    return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True) if len(tokens) else None
 
 
 def tokenised(batches, k: int):
+    """Rows (cid, text) -> (cid, tokens), of the texts whose set the class is; another row may have the same doc_id."""
     for batch in slices(batches, "text", SLICE_BYTES):
-        sets = list(sets_of(batch.column("text"), k))
-        yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cid", "tokens"])
+        some = [(cid, s.tobytes()) for cid, s in zip(batch.column("cid").to_pylist(), sets_of(batch.column("text"), k)) if class_id(s) == cid]
+        if some:
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in some], pa.int64()), pa.array([t for _, t in some], pa.binary())], names=["cid", "tokens"])
 
 
 class Group:
@@ -220,36 +214,40 @@ def similar_components(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10)
     is the least doc_id that links reach. Null and empty texts have n_shingles 0 and are linked with nothing. Equal
     sets, repeated rows included, are one component. Shingles and sets are told apart by 64-bit hashes.
     """
-    parts = Parts(num, den)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = stage(rows.mapInArrow(lambda b: signed(b, k, parts), SETS_DDL), "sets")
-    classes = sets.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
-
-    stored = sets.where("own is not null").select(F.explode("own").alias("sig"), "cid", F.lit(True).alias("stores"), "n_shingles")
-    asked = sets.where("lower is not null").select(F.explode("lower").alias("sig"), "cid", F.lit(False).alias("stores"), "n_shingles")
-    signs = stored.unionByName(asked)
-    lead = F.min(F.when(F.col("stores"), F.col("cid")))
-    shared = signs.groupBy("sig").agg(lead.alias("lead"), F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo <> hi and lead is not null").select("sig", "lead")
-    hits = stage(signs.join(shared, "sig").distinct(), "hits")
-
-    home = hits.where("stores").groupBy("cid").agg(F.min("lead").alias("g"), F.max("n_shingles").alias("n"))
-    load = home.groupBy("g").agg(F.sum("n").alias("load"))
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(rows, k, MOST_COMMON))
+    sets = stage(rows.mapInArrow(lambda b: signed(b, k, common.value, num, den), SETS_DDL), "sets")
+    classes = sets.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("rep"))
+
+    cells = sets.where("rows is not null").select(F.explode("rows").alias("row"), "cid", "n_shingles")
+    shared = cells.groupBy("row").agg(F.min("cid").alias("lead"), F.max("cid").alias("hi")).where("lead <> hi").select("row", "lead")
+    hits = stage(cells.join(shared, "row").distinct(), "hits")
+
+    enough = F.least(F.lit(SHARED), F.ceil(F.col("n_shingles") * num * num / (den * den)))  # a smaller partner may have fewer rows
+    near = hits.groupBy("cid", "n_shingles", "lead").agg(F.count("*").alias("n")).where(F.col("n") >= enough)
+    best = near.groupBy("cid").agg(F.max(F.struct("n", F.negative(F.col("lead").cast("decimal(20)")).alias("order"), "lead")).alias("best"))
+    home = hits.select("cid", "n_shingles").distinct().join(best, "cid", "left").select("cid", "n_shingles", F.coalesce("best.lead", "cid").alias("g"))
+    load = home.groupBy("g").agg(F.sum("n_shingles").alias("load"))
     cut = F.greatest(F.lit(1), F.ceil(F.col("load") / GROUP_TOKENS))
-    home = stage(home.join(load, "g").select("cid", "g", F.pmod(F.xxhash64("cid"), cut).cast("int").alias("part")), "groups")
-    matrix = hits.where("stores").select("sig", "cid").join(home, "cid").select("sig", "g", "part").distinct()
-    asks = hits.select("sig", "cid").join(matrix, "sig").select("cid", "g", "part").distinct()
-    asks = stage(asks.join(home, ["cid", "g", "part"], "left_anti"), "asks")
+    home = stage(home.join(load, "g").select("cid", "n_shingles", "g", F.pmod(F.xxhash64("cid"), cut).cast("int").alias("part")), "groups")
+    matrix = hits.select("row", "cid").join(home.select("cid", "g", "part"), "cid").select("row", "g", "part").distinct()
+    asks = hits.select("row", "cid", "n_shingles").join(matrix, "row").groupBy("cid", "n_shingles", "g", "part").agg(F.count("*").alias("n")).where(F.col("n") >= enough)
+    sizes = home.groupBy("g", "part").agg(F.min("n_shingles").alias("lo"), F.max("n_shingles").alias("hi"))
+    asks = asks.join(sizes, ["g", "part"]).where(f"{den} * hi >= {num} * n_shingles and {den} * n_shingles >= {num} * lo")
+    asks = stage(asks.select("cid", "g", "part").join(home, ["cid", "g", "part"], "left_anti"), "asks")
+    home = home.drop("n_shingles")
 
     width = asks.groupBy("g", "part").agg(F.ceil(F.count("*") / QUERIES_PER_SALT).cast("int").alias("salts"))
     salts = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), F.coalesce("salts", F.lit(1))) - 1))
     members = home.join(width, ["g", "part"], "left").select("cid", "g", "part", salts.alias("salt"), F.lit(False).alias("asks"))
     queries = asks.join(width, ["g", "part"]).select("cid", "g", "part", F.pmod(F.xxhash64("cid"), "salts").cast("int").alias("salt"), F.lit(True).alias("asks"))
 
-    needed = stage(home.select("cid").union(asks.select("cid")).distinct().join(classes, "cid").select("cid", F.col("rep").alias("doc_id")), "needed")
-    texts = rows.join(needed.hint("merge"), "doc_id")  # how many are needed grows with docs: no broadcast
+    wanted = home.join(asks.select("g", "part").distinct(), ["g", "part"], "left_semi").select("cid")
+    several = home.join(home.groupBy("g", "part").agg(F.count("*").alias("n")).where("n > 1"), ["g", "part"], "left_semi").select("cid")
+    members_of = wanted.union(several).distinct()
+    candidates = stage(members_of.union(asks.select("cid")).distinct().join(classes, "cid").select("cid", F.col("rep").alias("doc_id")), "candidates")
+    texts = rows.join(candidates.hint("merge"), "doc_id")  # how many there are grows with docs: no broadcast
     found = texts.mapInArrow(lambda b: tokenised(b, k), "cid long, tokens binary")
-    if docs.select("doc_id").isEmpty():
-        found = found.limit(0)
     found = stage(found, "tokens")
     work = members.unionByName(queries).join(found, "cid")
     work = work.repartition("g", "part", "salt").sortWithinPartitions("g", "part", "salt", "asks")

@@ -1,7 +1,8 @@
 """Similarity join on word shingles with a token-group matrix.
 
 Equal shingle sets are one set from the start. All shingles have one order, common ones last; sets within the
-threshold share several of their first shingles, by the prefix principle. Those are the rows of the matrix. Sets are
+threshold share several of their first shingles, by the prefix principle. Those, with a class of sizes, are the rows of the
+matrix. Sets are
 partitioned into groups around sets with which they share most rows; a group too large for a task is cut into several.
 The matrix (row, group) gives each query set's overlap with every group, and a group with less than the threshold
 needs is never looked at. Where a query arrives, its overlap with the stored union of the group's shingles bounds
@@ -85,27 +86,39 @@ def prefix(tokens: np.ndarray, common: tuple[np.ndarray, np.ndarray], num: int,
     return np.partition(place, size - 1)[:size]
 
 
-SETS_DDL = "doc_id long, n_shingles long, cid long, rows array<long>"
+def size_classes(n: int, num: int, den: int) -> list[int]:
+    """The class of a set's size, then the lower ones that a smaller partner may be in; classes double."""
+    own = n.bit_length()
+    return [own, *range(needed(n, num, den).bit_length(), own)]
+
+
+SETS_DDL = "doc_id long, n_shingles long, cid long, own array<long>, lower array<long>"
 
 
 def signed(batches, k: int, common: tuple[np.ndarray, np.ndarray], num: int, den: int):
-    """doc rows -> (doc_id, set size, class id, matrix rows of the set unless this task gave them before)."""
+    """doc rows -> (doc_id, set size, class id, matrix rows for the set's size
+    and for smaller partners, unless this task gave them before)."""
     seen: set[int] = set()
     for batch in slices(batches, "text", SLICE_BYTES):
-        sizes, cids, rows = [], [], []
+        sizes, cids, own, lower = [], [], [], []
         for tokens in sets_of(batch.column("text"), k):
             n = len(tokens)
             sizes.append(n)
             cid = class_id(tokens)
             cids.append(cid)
             if not n or cid in seen:
-                rows.append(None)
+                own.append(None)
+                lower.append(None)
                 continue
             seen.add(cid)
             if len(seen) > 500_000:
                 seen.clear()
-            rows.append(prefix(tokens, common, num, den).view(np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(cids, pa.int64()), pa.array(rows, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "cid", "rows"])
+            first = prefix(tokens, common, num, den)
+            mine, *others = (mix(first + U(c * 0xE7037ED1A0B428DB & (1 << 64) - 1)).view(np.int64) for c in size_classes(n, num, den))
+            own.append(mine)
+            lower.append(np.concatenate(others) if others else None)
+        kind = pa.list_(pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(cids, pa.int64()), pa.array(own, kind), pa.array(lower, kind)], names=["doc_id", "n_shingles", "cid", "own", "lower"])
 
 
 def class_id(tokens: np.ndarray) -> int | None:
@@ -219,18 +232,21 @@ def similar_components(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10)
     sets = stage(rows.mapInArrow(lambda b: signed(b, k, common.value, num, den), SETS_DDL), "sets")
     classes = sets.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("rep"))
 
-    cells = sets.where("rows is not null").select(F.explode("rows").alias("row"), "cid", "n_shingles")
-    shared = cells.groupBy("row").agg(F.min("cid").alias("lead"), F.max("cid").alias("hi")).where("lead <> hi").select("row", "lead")
+    cells = sets.where("own is not null").select(F.explode("own").alias("row"), "cid", "n_shingles", F.lit(True).alias("stores"))
+    cells = cells.union(sets.where("lower is not null").select(F.explode("lower").alias("row"), "cid", "n_shingles", F.lit(False)))
+    lead = F.min(F.when(F.col("stores"), F.col("cid"))).alias("lead")
+    shared = cells.groupBy("row").agg(lead, F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo <> hi and lead is not null").select("row", "lead")
     hits = stage(cells.join(shared, "row").distinct(), "hits")
 
     enough = F.least(F.lit(SHARED), F.ceil(F.col("n_shingles") * num * num / (den * den)))  # a smaller partner may have fewer rows
-    near = hits.groupBy("cid", "n_shingles", "lead").agg(F.count("*").alias("n")).where(F.col("n") >= enough)
+    stored = hits.where("stores")
+    near = stored.groupBy("cid", "n_shingles", "lead").agg(F.count("*").alias("n")).where(F.col("n") >= enough)
     best = near.groupBy("cid").agg(F.max(F.struct("n", F.negative(F.col("lead").cast("decimal(20)")).alias("order"), "lead")).alias("best"))
-    home = hits.select("cid", "n_shingles").distinct().join(best, "cid", "left").select("cid", "n_shingles", F.coalesce("best.lead", "cid").alias("g"))
+    home = stored.select("cid", "n_shingles").distinct().join(best, "cid", "left").select("cid", "n_shingles", F.coalesce("best.lead", "cid").alias("g"))
     load = home.groupBy("g").agg(F.sum("n_shingles").alias("load"))
     cut = F.greatest(F.lit(1), F.ceil(F.col("load") / GROUP_TOKENS))
     home = stage(home.join(load, "g").select("cid", "n_shingles", "g", F.pmod(F.xxhash64("cid"), cut).cast("int").alias("part")), "groups")
-    matrix = hits.select("row", "cid").join(home.select("cid", "g", "part"), "cid").select("row", "g", "part").distinct()
+    matrix = stored.select("row", "cid").join(home.select("cid", "g", "part"), "cid").select("row", "g", "part").distinct()
     asks = hits.select("row", "cid", "n_shingles").join(matrix, "row").groupBy("cid", "n_shingles", "g", "part").agg(F.count("*").alias("n")).where(F.col("n") >= enough)
     sizes = home.groupBy("g", "part").agg(F.min("n_shingles").alias("lo"), F.max("n_shingles").alias("hi"))
     asks = asks.join(sizes, ["g", "part"]).where(f"{den} * hi >= {num} * n_shingles and {den} * n_shingles >= {num} * lo")

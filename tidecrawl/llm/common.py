@@ -82,7 +82,7 @@ U = np.uint64
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 BASE = 0x9E3779B97F4A7C15 | 1
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 _powers: dict[str, np.ndarray] = {}
 
 

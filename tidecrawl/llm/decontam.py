@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tidecrawl.llm.common import U, flat, hashed_words, mix, separators, slices
 
 WORD = separators((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F))
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 GRAM = 3
 
 

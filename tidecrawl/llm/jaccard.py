@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tidecrawl.llm.common import U, components, flat, hashed_words, mix, separators, slices, stage
 
 WORD = separators((0x20, 0x20), (0x09, 0x0D))
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 SHARED = 4  # rows that a query and a partner share at least
 LOCAL, COMMON, MOST_COMMON = 3, 16, 50_000  # a common shingle's count in a slice and in all; entries of the list
 GROUP_TOKENS = 1 << 18
@@ -111,7 +111,7 @@ def signed(batches, k: int, common: tuple[np.ndarray, np.ndarray], num: int, den
                 lower.append(None)
                 continue
             seen.add(cid)
-            if len(seen) > 500_000:
+            if len(seen) > 200_000:
                 seen.clear()
             first = prefix(tokens, common, num, den)
             mine, *others = (mix(first + U(c * 0xE7037ED1A0B428DB & (1 << 64) - 1)).view(np.int64) for c in size_classes(n, num, den))
@@ -190,7 +190,7 @@ def opened(batches, num: int, den: int):
         g.inside(num, den)
         return g
 
-    for batch in slices(batches, "tokens", 8 << 20):
+    for batch in slices(batches, "tokens", 2 << 20):
         for g, part, salt, asks, cid, raw in zip(*(batch.column(c).to_pylist() for c in ("g", "part", "salt", "asks", "cid", "tokens"))):
             if (g, part, salt) != key:
                 if group is None and ids:

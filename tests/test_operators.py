@@ -111,12 +111,35 @@ def test_spacing_like_a_fold(spark):
     rng = random.Random(5)
     rows = [(rng.choice("ab"), i, rng.randrange(1000), rng.randrange(1, 60)) for i in range(300)]
     log = spark.createDataFrame(rows, "domain string, seq int, at long, gap long")
-    got = {r.seq: r.granted for r in schedule.spacing(log, "domain", "at", "seq", F.col("gap")).collect()}
-    for d in "ab":
-        free = 0
-        for _, seq, at, gap in sorted((r for r in rows if r[0] == d), key=lambda r: (r[2], r[1])):
-            assert got[seq] == max(at, free)
-            free = max(at, free) + gap
+    for key, groups in (("domain", "ab"), (None, [None])):
+        for most in (1000, 40):
+            got = {r.seq: r.granted for r in schedule.spacing(log, key, "at", "seq", F.col("gap"), most).collect()}
+            for d in groups:
+                free = 0
+                for _, seq, at, gap in sorted((r for r in rows if d in (None, r[0])), key=lambda r: (r[2], r[1])):
+                    assert got[seq] == max(at, free)
+                    free = max(at, free) + gap
+
+
+def test_stretches(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice(("a", "b", None)), i, rng.randrange(2000), rng.randrange(1, 90)) for i in range(400)]
+    log = spark.createDataFrame(rows, "domain string, seq int, at long, held long")
+    slots = log.select("domain", F.col("at").alias("start"), (F.col("at") + F.col("held")).alias("end"))
+    for whole, cut in (
+        (schedule.token_bucket(log, "domain", "at", "seq", 20, 3), schedule.token_bucket(log, "domain", "at", "seq", 20, 3, most=30)),
+        (metrics.gaps(log), metrics.gaps(log, most=30)),
+        (metrics.concurrency_peaks(slots), metrics.concurrency_peaks(slots, most=30)),
+    ):
+        assert whole.columns == cut.columns
+        assert sorted(map(str, whole.collect())) == sorted(map(str, cut.collect()))
+    assert metrics.gaps(log.limit(0)).count() == 0
+
+
+def test_pauses(spark):
+    log = spark.createDataFrame([(0, "a", 0.0), (1, "a", 1.0), (2, "b", 1.0), (3, "a", 50.0)], "seq long, domain string, at double")
+    replies = spark.createDataFrame([(0, 30.0), (1, None), (2, 5.0)], "seq long, pause double")
+    assert {r.seq: r.granted for r in schedule.with_pauses(log, 2.0, replies).collect()} == {0: 0.0, 1: 30.0, 2: 1.0, 3: 50.0}
 
 
 def test_coupled_limits(spark):

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidecrawl.functions.urls import normalize_url
+from tidecrawl.operators.stretches import MOST, earlier, handed_on, stretched
 
 
 def pages_by_depth(pages: DataFrame) -> DataFrame:
@@ -61,9 +62,12 @@ def trailing_rates(log: DataFrame, window: int) -> DataFrame:
     return log.withColumn("n_recent", F.count("*").over(own)).withColumn("rate_recent", F.coalesce(rate, F.lit(0.0)))
 
 
-def gaps(log: DataFrame) -> DataFrame:
+def gaps(log: DataFrame, most: int = MOST) -> DataFrame:
     """log(domain, at, seq, ...) plus gap to the request before of its domain."""
-    return log.withColumn("gap", F.col("at") - F.lag("at").over(Window.partitionBy("domain").orderBy("at", "seq")))
+    rows, cut = stretched(log, ["domain"], ["at", "seq"], most)
+    rows = rows.withColumn("_lag", F.lag("at").over(Window.partitionBy("domain", "_part").orderBy("at", "seq")))
+    rows = handed_on(rows, cut, ["domain"], F.lit(0), F.max("at"))
+    return rows.withColumn("gap", F.col("at") - F.coalesce("_lag", "_lead")).select(*log.columns, "gap")
 
 
 def domain_stats(log: DataFrame) -> DataFrame:
@@ -72,17 +76,20 @@ def domain_stats(log: DataFrame) -> DataFrame:
     return log.groupingSets([["domain"], []], "domain").agg(F.grouping("domain").cast("int").alias("is_total"), F.count("*").alias("requests"), F.coalesce(F.avg("waited"), F.lit(0.0)).alias("avg_wait"), every.alias("avg_interval"))
 
 
-def concurrency_peaks(slots: DataFrame) -> DataFrame:
+def concurrency_peaks(slots: DataFrame, most: int = MOST) -> DataFrame:
     """(domain, is_total, peak) of slots(domain, start, end): most slots held at once; a slot ends before another starts."""
     spread = slots.select("domain", F.explode(F.array(F.struct(F.col("start").alias("t"), F.lit(1).alias("d")), F.struct(F.col("end").alias("t"), F.lit(-1).alias("d")))).alias("e")).select("domain", "e.*")
     steps = spread.groupBy("domain", "t", "d").agg(F.sum("d").alias("by"))
 
-    def peak(rows, *keys):
-        own = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("t", "d").rowsBetween(Window.unboundedPreceding, 0)
-        return rows.withColumn("held", F.sum("by").over(own)).groupBy(*keys).agg(F.greatest(F.max("held"), F.lit(0)).alias("peak"))
+    def peak(rows, keys):
+        rows, _ = stretched(rows, keys, ["t", "d"], most)
+        own = Window.partitionBy(*keys, "_part").orderBy("t", "d").rowsBetween(Window.unboundedPreceding, 0)
+        parts = rows.withColumn("held", F.sum("by").over(own)).groupBy(*keys, "_part").agg(F.max("held").alias("held"), F.sum("by").alias("by"))
+        held = F.col("held") + F.coalesce(F.sum("by").over(earlier(keys)), F.lit(0))
+        return parts.withColumn("held", held).groupBy(*keys).agg(F.greatest(F.max("held"), F.lit(0)).alias("peak"))
 
-    whole = peak(steps.groupBy("t", "d").agg(F.sum("by").alias("by")))
-    each = peak(steps, "domain")
+    whole = peak(steps.groupBy("t", "d").agg(F.sum("by").alias("by")), [])
+    each = peak(steps, ["domain"])
     return each.select("domain", F.lit(0).alias("is_total"), "peak").unionByName(whole.select(F.lit(None).cast("string").alias("domain"), F.lit(1).alias("is_total"), "peak"))
 
 

@@ -6,33 +6,42 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidecrawl.operators.stretches import MOST, handed_on, stretched
 
-def token_bucket(log: DataFrame, key: str, at: str, seq: str, interval: int, burst: int = 1) -> DataFrame:
+
+def token_bucket(log: DataFrame, key: str, at: str, seq: str, interval: int, burst: int = 1, most: int = MOST) -> DataFrame:
     """log plus granted: the time at which a bucket of burst tokens, one more each interval, lets a request pass.
 
     Times and interval are integers of one unit. Requests of a key are served in order of arrival. With
     T_i = (i + 1) * interval + max over j <= i of (at_j - j * interval), a grant is max(at_i, T_(i-1) - (burst - 1) * interval).
+    A key of more than most requests is cut into stretches.
     """
     if interval < 0 or burst < 1:
         raise ValueError("interval must not be negative, burst must be 1 or more")
-    own = Window.partitionBy(key).orderBy(at, seq)
-    i = F.row_number().over(own) - 1
-    rows = log.withColumn("_i", i.cast("long"))
-    lead = F.max(F.col(at) - F.col("_i") * interval).over(own.rowsBetween(Window.unboundedPreceding, -1))
-    due = F.col("_i") * interval + lead - (burst - 1) * interval
-    return rows.withColumn("granted", F.greatest(F.col(at), F.coalesce(due, F.col(at)))).drop("_i")
+    rows, cut = stretched(log, [key], [at, seq], most)
+    own = Window.partitionBy(key, "_part").orderBy(at, seq)
+    rows = rows.withColumn("_s", (F.row_number().over(own) - 1).cast("long") * interval)
+    rows = rows.withColumn("_max", F.max(F.col(at) - F.col("_s")).over(own.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = handed_on(rows, cut, [key], F.count("*") * interval, F.max(F.col(at) - F.col("_s")))
+    lead = F.greatest(F.col("_max") - F.col("_base"), F.col("_lead"))
+    due = F.col("_base") + F.col("_s") + lead - (burst - 1) * interval
+    return rows.withColumn("granted", F.greatest(F.col(at), F.coalesce(due, F.col(at)))).select(*log.columns, "granted")
 
 
-def spacing(log: DataFrame, key: str | None, at: str, seq: str, gap: Column) -> DataFrame:
+def spacing(log: DataFrame, key: str | None, at: str, seq: str, gap: Column, most: int = MOST) -> DataFrame:
     """log plus granted and waited: each request follows the one before by that one's gap at least.
 
     With S_i the sum of the gaps before i, a grant is S_i + max over j <= i of (at_j - S_j). Without key all requests
-    share one schedule.
+    share one schedule. A schedule of more than most requests is cut into stretches.
     """
-    own = Window.partitionBy(key if key else F.lit(0)).orderBy(at, seq)
-    rows = log.withColumn("_gap", gap).withColumn("_s", F.coalesce(F.sum("_gap").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    granted = F.col("_s") + F.max(F.col(at) - F.col("_s")).over(own.rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("granted", granted).withColumn("waited", F.col("granted") - F.col(at)).drop("_gap", "_s")
+    keys = [key] if key else []
+    rows, cut = stretched(log.withColumn("_gap", gap), keys, [at, seq], most)
+    own = Window.partitionBy(*keys, "_part").orderBy(at, seq)
+    rows = rows.withColumn("_s", F.coalesce(F.sum("_gap").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    rows = rows.withColumn("_max", F.max(F.col(at) - F.col("_s")).over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = handed_on(rows, cut, keys, F.sum("_gap"), F.max(F.col(at) - F.col("_s")))
+    granted = F.col("_base") + F.col("_s") + F.greatest(F.col("_max") - F.col("_base"), F.col("_lead"))
+    return rows.withColumn("granted", granted).withColumn("waited", F.col("granted") - F.col(at)).select(*log.columns, "granted", "waited")
 
 
 def polite_gap(interval: float, min_delay: float, crawl_delay: Column, jitter: float = 0.0, seed: int = 0) -> Column:
@@ -84,16 +93,9 @@ def coupled_limits(log: DataFrame, host_interval: float, global_interval: float,
 def with_pauses(log: DataFrame, interval: float, replies: DataFrame) -> DataFrame:
     """(seq, domain, at, granted) when a reply may stop its whole host: replies(seq, pause) in seconds, null for none.
 
-    The pause counts from the request's own grant and holds back every later request to the host.
+    The pause counts from the request's own grant and holds back every later request to the host, so it is a longer
+    gap after that request.
     """
-
-    def run(key, frame):
-        free, out = float("-inf"), []
-        for r in frame.sort_values(["at", "seq"]).itertuples():
-            go = max(r.at, free)
-            free = max(go + interval, go + r.pause if r.pause == r.pause else float("-inf"))
-            out.append((r.seq, r.domain, r.at, go))
-        return pd.DataFrame(out, columns=["seq", "domain", "at", "granted"])
-
     rows = log.select(F.col("seq").cast("long"), "domain", F.col("at").cast("double")).join(replies.select("seq", F.col("pause").cast("double")), "seq", "left")
-    return rows.groupBy("domain").applyInPandas(run, "seq long, domain string, at double, granted double")
+    gap = F.greatest(F.lit(float(interval)), F.when(~F.isnan("pause"), F.col("pause")))
+    return spacing(rows, "domain", "at", "seq", gap).select("seq", "domain", "at", "granted")

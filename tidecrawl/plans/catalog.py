@@ -329,7 +329,7 @@ def domain_rate_coupled(spark, sf_dir):
     return schedule.coupled_limits(request_log(spark, sf_dir), 7200.0, 60.0)
 
 
-@query()
+@query(f"WITH {LOG}, l AS (SELECT *, CASE WHEN failed THEN 30000 ELSE 60 END AS gap FROM log), {SPACED.format(key='domain')} SELECT seq, domain, CAST(tm AS DOUBLE) AS at, CAST(granted AS DOUBLE) AS granted FROM g")
 def spacing_with_pauses(spark, sf_dir):
     log = request_log(spark, sf_dir)
     return schedule.with_pauses(log, 60.0, log.select("seq", F.when(F.col("failed"), 30000.0).alias("pause")))

@@ -3,7 +3,8 @@
 Each task first folds the copies in its own rows together in an open-addressing table, so a text that a third of
 all rows share reaches the shuffle once per task. The remaining texts are hash-partitioned; a partition too large
 for memory is split into spill files, again and again, until the distinct texts of a file fit the table. Texts are
-compared in full; hashes only choose slots and files.
+compared in full; hashes only choose slots and files. Spill files lie in the folders where Spark itself spills, end
+with their task, and nothing else reads them: a task of a lost executor starts anew elsewhere.
 """
 
 from __future__ import annotations
@@ -185,7 +186,8 @@ def grace_groups(memory: int):
         else:
             yield from emit(fits(held) or [])
             return
-        folder = tempfile.mkdtemp(prefix="grace-")
+        disks = [d for d in os.environ.get("SPARK_LOCAL_DIRS", "").split(",") if d] or [None]
+        folder = tempfile.mkdtemp(prefix="grace-", dir=disks[TaskContext.get().taskAttemptId() % len(disks)])
         try:
             def rest():
                 while held:

@@ -27,6 +27,7 @@ SHARED = 4  # rows that a query and a partner share at least
 LOCAL, COMMON, MOST_COMMON = 3, 16, 50_000  # a common shingle's count in a slice and in all; entries of the list
 GROUP_TOKENS = 1 << 18
 QUERIES_PER_SALT = 4096
+SALTS = 64  # tasks that may learn how a large group is cut
 
 
 def sets_of(column, k: int):
@@ -243,9 +244,11 @@ def similar_components(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10)
     near = stored.groupBy("cid", "n_shingles", "lead").agg(F.count("*").alias("n")).where(F.col("n") >= enough)
     best = near.groupBy("cid").agg(F.max(F.struct("n", F.negative(F.col("lead").cast("decimal(20)")).alias("order"), "lead")).alias("best"))
     home = stored.select("cid", "n_shingles").distinct().join(best, "cid", "left").select("cid", "n_shingles", F.coalesce("best.lead", "cid").alias("g"))
-    load = home.groupBy("g").agg(F.sum("n_shingles").alias("load"))
-    cut = F.greatest(F.lit(1), F.ceil(F.col("load") / GROUP_TOKENS))
-    home = stage(home.join(load, "g").select("cid", "n_shingles", "g", F.pmod(F.xxhash64("cid"), cut).cast("int").alias("part")), "groups")
+    home = stage(home.withColumn("salt", F.pmod(F.xxhash64("cid"), F.lit(SALTS))), "homes")
+    large = home.groupBy("g").agg(F.sum("n_shingles").alias("load")).where(F.col("load") > GROUP_TOKENS)
+    large = large.select("g", F.ceil(F.col("load") / GROUP_TOKENS).alias("cut"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")).alias("salt"))
+    part = F.pmod(F.xxhash64("cid"), F.coalesce("cut", F.lit(1))).cast("int").alias("part")
+    home = stage(home.join(large, ["g", "salt"], "left").select("cid", "n_shingles", "g", part), "groups")
     matrix = stored.select("row", "cid").join(home.select("cid", "g", "part"), "cid").select("row", "g", "part").distinct()
     asks = hits.select("row", "cid", "n_shingles").join(matrix, "row").groupBy("cid", "n_shingles", "g", "part").agg(F.count("*").alias("n")).where(F.col("n") >= enough)
     sizes = home.groupBy("g", "part").agg(F.min("n_shingles").alias("lo"), F.max("n_shingles").alias("hi"))

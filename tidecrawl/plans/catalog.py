@@ -227,7 +227,10 @@ def progress_snapshot(spark, sf_dir):
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS src, (l_suppkey * 3 + l_linenumber) % 100 AS dst FROM lineitem WHERE l_suppkey < 100),
        r AS (SELECT 1::BIGINT AS node, 0 AS depth UNION SELECT dst, depth + 1 FROM r JOIN e ON node = src WHERE depth < 4) SELECT node, min(depth) AS depth FROM r GROUP BY node""")
 def link_depths(spark, sf_dir):
-    edges = table(spark, sf_dir, "lineitem").where("l_suppkey < 100").select(F.col("l_suppkey").alias("src"), ((F.col("l_suppkey") * 3 + F.col("l_linenumber")) % 100).alias("dst")).distinct()
+    """Over all of lineitem; targets modulo the suppliers (their greatest number + 1), 100 at least."""
+    items = table(spark, sf_dir, "lineitem")
+    n = max(100, (items.agg(F.max("l_suppkey")).first()[0] or 0) + 1)
+    edges = items.select(F.col("l_suppkey").alias("src"), ((F.col("l_suppkey") * 3 + F.col("l_linenumber")) % n).alias("dst")).distinct()
     return frontier.link_depths(edges, spark.createDataFrame([(1,)], "node long"), 4)
 
 

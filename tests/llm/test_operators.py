@@ -147,6 +147,18 @@ def test_decontamination(spark, block):
     assert decontam.match_documents(docs.limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("block", [4 << 20, 40])
+def test_decontamination_null_ids(spark, block):
+    """Passages of items without an id count like the query's SQL does it: one item, absent from the digest."""
+    parts = [" ".join(f"{x}{i}" for i in range(12)) for x in "abc"]
+    bench = spark.createDataFrame([(None, parts[0]), (None, parts[1]), (7, parts[2])], "item_id long, text string")
+    docs = table(spark, [parts[0], " ".join(parts[:2]), " ".join(parts), parts[2], "clean"])
+    sha = [hashlib.sha256(x).hexdigest() for x in (b"", b"7")]
+    got = {r.doc_id: (r.n_hit, r.n_items, r.items_sha256) for r in decontam.match_documents(docs, bench, 10, block).collect()}
+    assert got == {0: (12, 1, sha[0]), 1: (24, 1, sha[0]), 2: (36, 2, sha[1]), 3: (12, 1, sha[1]), 4: (0, 0, sha[0])}
+    assert [r.doc_id for r in decontam.decontaminate(docs, bench).collect()] == [4]
+
+
 def test_longest_matches(spark):
     passage = [f"p{i}" for i in range(30)]
     docs = spark.createDataFrame([(1, "a b " + " ".join(passage[3:25]) + " c")], "doc_id long, text string")

@@ -165,9 +165,9 @@ def report(keep: list[str]):
             for spans, items in zip(batch.column("_spans").to_pylist(), batch.column("_items").to_pylist()):
                 pairs = np.frombuffer(spans, "<i4").reshape(-1, 2)
                 hit.append(int(np.diff(merged(pairs), axis=1).sum()) if len(pairs) else 0)
-                ids = sorted(set(items))
+                ids = set(items)
                 n_items.append(len(ids))
-                digest.append(hashlib.sha256(",".join(ids).encode()).hexdigest())
+                digest.append(hashlib.sha256(",".join(sorted(ids - {None})).encode()).hexdigest())
             cols = [*(batch.column(c) for c in keep), batch.column("_words"), pa.array(hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(digest, pa.string()), batch.column("_spans")]
             yield pa.RecordBatch.from_arrays(cols, names=[*keep, "n_words", "n_hit", "n_items", "items_sha256", "_spans"])
 
@@ -177,7 +177,7 @@ def report(keep: list[str]):
 def blocks_of(benchmark: DataFrame, width: int, limit: int):
     """Blocks of items, each of at most limit bytes (or one item), so that what tasks receive is bounded."""
     ids, texts, size = [], [], 0
-    rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string"), F.col("text").cast("binary"))
+    rows = benchmark.where("text is not null").select(F.col("item_id").cast("string"), F.col("text").cast("binary"))
     for item, text in rows.toLocalIterator():
         if ids and size + len(text) > limit:
             yield windows_of(ids, texts, width)
@@ -194,8 +194,8 @@ def match_documents(docs: DataFrame, benchmark: DataFrame, width: int = 10, bloc
     Words are runs of bytes outside 00-2F, 3A-60 and 7B-7F after lower-casing A-Z. A window is width consecutive
     words of an item; a shorter item is one window. n_hit counts document words inside any occurrence of a window;
     spans lists the covered word ranges (the longest verbatim matches, joined where they touch). A null or empty
-    text has no words; items without words match nothing; equal items all count; an empty benchmark leaves every
-    document clean. A benchmark beyond block_bytes is searched block by block, each in a further narrow pass.
+    text has no words; items without words match nothing; equal items all count; items with a null item_id mark words
+    like others, count as one in n_items and are left out of items_sha256; an empty benchmark leaves every document clean. A benchmark beyond block_bytes is searched block by block, each in a further narrow pass.
     """
     keep = [c for c in docs.columns if c not in ("_words", "_spans", "_items")]
     kinds = dict(docs.dtypes)

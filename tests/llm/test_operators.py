@@ -276,6 +276,14 @@ def test_chat_digests(spark):
     assert chat.digest_formatted(chat.format_turns(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
 
 
+def test_long_words():
+    """Every letter of a long run counts, between equal ends too."""
+    en, fr = "the house with three green gardens over there ".split(), "la maison avec trois jardins verts ailleurs ".split()
+    field = langid.train([(" ".join(en * 40), "en"), (" ".join(fr * 40), "fr")])
+    glued = ["z" * 12 + "".join(words * n) + "z" * 12 for n in (1, 300) for words in (en, fr)]
+    assert [lang for lang, _ in field.label(glued)] == ["en", "fr", "en", "fr"]
+
+
 # ---------------------------------------------------------------- PII
 def luhn(s):
     d = [int(c) for c in s if c.isdigit()][::-1]

@@ -21,15 +21,13 @@ BITS = 15
 SEGMENT = 32
 CACHE = 400_000
 FIND = re.compile(r"[^\W\d_]+").findall
-WIDTH = 24  # a word's inner n-grams are taken over its first and last letters up to this many
 
 
 def features(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     """(word index, feature) pairs: prefixes and suffixes of 1 to 3, inner 2- and 3-grams, lexicon entries."""
     n = len(words)
-    cut = [w if len(w) <= WIDTH else w[: WIDTH // 2] + w[-WIDTH // 2 :] for w in words]
-    length = np.fromiter(map(len, cut), np.int64, n)
-    code = np.frombuffer("".join(cut).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    length = np.fromiter(map(len, words), np.int64, n)
+    code = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.uint64)
     start = np.cumsum(length) - length
     owner = np.repeat(np.arange(n), length)
     at = np.arange(len(code)) - start[owner]

@@ -312,6 +312,14 @@ def test_pii(spark):
     assert pii.pseudonymise(table(spark, texts).limit(0), "k").count() == 0
 
 
+def test_long_secrets(spark):
+    values = ["aB3-" * 50 + "x", "0123456789abcdef" * 300, "Zz9é漢" * 8000]
+    rows = {r.doc_id: r for r in pii.pseudonymise(table(spark, [f'a token = "{v}" b' for v in values]), "k").collect()}
+    for i, v in enumerate(values):
+        new = rows[i].text[len('a token = "') : -len('" b')]
+        assert (rows[i].n_found, rows[i].n_secret) == (1, 1) and len(new) == len(v) and new[: len(v) // 2] != v[: len(v) // 2] and new[len(v) // 2 :] != v[len(v) // 2 :]
+
+
 def test_permutations_are_bijections(spark):
     rows = spark.range(0, 1000).select(F.format_string("%03d", "id").alias("x"))
     assert rows.select(pii.permuted(F.col("x"), "k", (pii.DIGITS,)).alias("y")).distinct().count() == 1000

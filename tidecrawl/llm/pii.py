@@ -15,6 +15,7 @@ DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKL
 ACCENTED = "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿß"
 ACCENTED_UPPER = "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ"
 TEXT = (DIGITS, LOWER, UPPER, ACCENTED, ACCENTED_UPPER)
+LONG = 100  # characters of half a value beyond which its hash stands for it, so that work grows with its length
 DAY_ZERO, DAYS = "1000-01-01", (730, 1000)  # dates from there on, as a product of two near sizes
 
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
@@ -24,7 +25,7 @@ DATE = r"(?<![\w/-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(
 PHONE = r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\w.+-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])"
 SSN = r"(?<![\w-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\w-])"
 CARD = r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?!\w)"
-SECRET = r"(?i:(?:token|secret|password|passwd|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"'][^\"'\s]{8,200}[\"'])"
+SECRET = r"(?i:(?:token|secret|password|passwd|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"'][^\"'\s]{8,}+[\"'])"
 KINDS = {"email": EMAIL, "ip": ADDRESS, "date": DATE, "ssn": SSN, "phone": PHONE, "card": CARD, "secret": SECRET}
 ANY = "|".join(KINDS.values())
 
@@ -41,21 +42,22 @@ def let(value: Column, use) -> Column:
 
 
 def letters(x: Column) -> Column:
-    return F.when(F.length(x) == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.substring(x, i, F.lit(1))))
+    return F.when(F.length(x) == 0, F.array().cast("array<string>")).otherwise(F.split(x, ""))
 
 
 def turned(x: Column, other: Column, k: Column, key: str, alphabets: tuple[str, ...]) -> Column:
     """x with each character moved within its alphabet by what the other half, the round and the place give."""
 
-    def move(c, i):
-        by = prf(key, k, i, F.length(x), other)
+    def move(c, i, size, told):
+        by = prf(key, k, i, size, told)
         out = c
         for a in reversed(alphabets):
             at = F.instr(F.lit(a), c)
             out = F.when(at > 0, F.substring(F.lit(a), (F.pmod(at - 1 + by, F.lit(len(a))) + 1).cast("int"), F.lit(1))).otherwise(out)
         return out
 
-    return F.array_join(F.transform(letters(x), move), "")
+    known = F.struct(F.length(x).alias("n"), F.when(F.length(other) > LONG, F.sha2(other, 256)).otherwise(other).alias("t"))
+    return let(known, lambda v: F.array_join(F.transform(letters(x), lambda c, i: move(c, i, v["n"], v["t"])), ""))
 
 
 def permuted(x: Column, key: str, alphabets: tuple[str, ...] = TEXT) -> Column:
@@ -163,8 +165,8 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """docs with text pseudonymised under the key, plus n_found and n_<kind> for each kind.
 
     Kinds: e-mail addresses (the part before @ is permuted), IPv4 addresses, calendar dates from 1000 to 2998, US
-    social security numbers, telephone numbers, card numbers with a right check digit, and quoted secrets after
-    token, password and the like. What fails validation stays. Null text stays null with counts 0. Repeated rows
+    social security numbers, telephone numbers, card numbers with a right check digit, and quoted secrets of 8
+    characters or more after token, password and the like. What fails validation stays. Null text stays null with counts 0. Repeated rows
     are treated alike; all columns of docs are kept, but for own ones that have the added names.
     """
     def count(kind):

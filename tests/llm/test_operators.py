@@ -320,6 +320,15 @@ def test_long_secrets(spark):
         assert (rows[i].n_found, rows[i].n_secret) == (1, 1) and len(new) == len(v) and new[: len(v) // 2] != v[: len(v) // 2] and new[len(v) // 2 :] != v[len(v) // 2 :]
 
 
+def test_cards_beside_digits(spark):
+    card, amex = "4111 1111 1111 1111", "3782 822463 10005"
+    cases = {f"{card} 123": 1, f"12 {card}": 1, f"{card} {card}": 2, f"{amex} {amex}": 2, f"1234 {card}": 1, f"{card} 2023-02-28": 2, f"{card} 12a": 1, "4111 1111 1111 1112 123": 0}
+    rows = {r.doc_id: r for r in pii.pseudonymise(table(spark, [f"x {t}, y" for t in cases]), "k").collect()}
+    for i, (t, n) in enumerate(cases.items()):
+        assert rows[i].n_found == n and card not in rows[i].text and amex not in rows[i].text and len(rows[i].text) == len(t) + 5, t
+    assert rows[0].text.endswith(" 123, y") and rows[1].text.startswith("x 12 ") and rows[4].text.startswith("x 1234 ")
+
+
 def test_permutations_are_bijections(spark):
     rows = spark.range(0, 1000).select(F.format_string("%03d", "id").alias("x"))
     assert rows.select(pii.permuted(F.col("x"), "k", (pii.DIGITS,)).alias("y")).distinct().count() == 1000

@@ -27,7 +27,8 @@ SSN = r"(?<![\w-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\w-])"
 CARD = r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?!\w)"
 SECRET = r"(?i:(?:token|secret|password|passwd|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"'][^\"'\s]{8,}+[\"'])"
 KINDS = {"email": EMAIL, "ip": ADDRESS, "date": DATE, "ssn": SSN, "phone": PHONE, "card": CARD, "secret": SECRET}
-ANY = "|".join(KINDS.values())
+BUT_CARDS = "|".join(p for k, p in KINDS.items() if k != "card")
+RUN = r"(?<![\w.+-])(?=\d(?:[ -]?\d){12})\d++(?!\w)(?:[ -]\d++(?!\w))*+"  # all groups of digits with a separator between
 
 
 def prf(key: str, *parts) -> Column:
@@ -114,6 +115,27 @@ def date_of(x: Column) -> Column:
     return F.coalesce(*parsed)
 
 
+def cards_of(run: Column) -> Column:
+    """The cards among the stretches of whole groups of a run: 13 to 19 digits with a right check digit."""
+
+    def stretches(parts):
+        n = F.size(parts)
+        pick = lambda i, k: F.regexp_replace(F.array_join(F.slice(parts, i, k), ""), "[ -]$", "")
+        return F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(19), n - i + 1)), lambda k: pick(i, k))))
+
+    sized = F.filter(let(F.split(run, "(?<=[ -])"), stretches), lambda c: F.length(only_digits(c)).between(13, 19))
+    return F.filter(sized, lambda c: let(only_digits(c), lambda d: luhn(d, 0)) % 10 == 0)
+
+
+def pattern_of(text: Column) -> Column:
+    """What to find in a text: all kinds but cards, and the text's own cards, the longest first."""
+    runs = F.coalesce(F.regexp_extract_all(text, F.lit(RUN), F.lit(0)), F.array().cast("array<string>"))
+    cards = F.array_distinct(F.flatten(F.transform(runs, cards_of)))
+    longest = F.transform(F.reverse(F.array_sort(F.transform(cards, lambda c: F.struct(F.length(c).alias("n"), c.alias("c"))))), lambda s: s["c"])
+    own = let(longest, lambda c: F.when(F.size(c) > 0, F.concat(F.lit(r"|(?<![\w.+]|(?<!\d)-)(?:"), F.array_join(c, "|"), F.lit(r")(?!\w)"))).otherwise(""))
+    return F.concat(F.lit(BUT_CARDS), own)
+
+
 def kind_of(x: Column) -> Column:
     """The kind of a found value after validation; null if it fails."""
     date = date_of(x)
@@ -166,7 +188,8 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
 
     Kinds: e-mail addresses (the part before @ is permuted), IPv4 addresses, calendar dates from 1000 to 2998, US
     social security numbers, telephone numbers, card numbers with a right check digit, and quoted secrets of 8
-    characters or more after token, password and the like. What fails validation stays. Null text stays null with counts 0. Repeated rows
+    characters or more after token, password and the like. What fails validation stays; of digits in a row of groups, the
+    leftmost and then longest stretches of whole groups that are cards count. Null text stays null with counts 0. Repeated rows
     are treated alike; all columns of docs are kept, but for own ones that have the added names.
     """
     def count(kind):
@@ -174,11 +197,11 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
 
     names = ["n_found", *(f"n_{k}" for k in KINDS)]
     keep = [F.col(c) for c in docs.columns if c not in (*names, "text")]
-    found = docs.withColumn("_found", F.coalesce(F.regexp_extract_all("text", F.lit(ANY), F.lit(0)), F.array().cast("array<string>")))
-    marked = found.withColumn("_found", F.transform("_found", lambda x: F.struct(x.alias("v"), kind_of(x).alias("k"))))
+    asked = docs.withColumn("_found", pattern_of(F.col("text")))
+    found = asked.withColumn("_found", F.struct(F.coalesce(F.regexp_extract_all("text", F.col("_found"), F.lit(0)), F.array().cast("array<string>")).alias("x"), F.split("text", F.col("_found"), -1).alias("gaps")))
+    marked = found.withColumn("_gaps", F.col("_found.gaps")).withColumn("_found", F.transform("_found.x", lambda x: F.struct(x.alias("v"), kind_of(x).alias("k"))))
     new = F.transform("_found", lambda s: pseudonym(s["v"], s["k"], key))
-    gaps = F.split("text", ANY, -1)
-    text = F.array_join(F.zip_with(gaps, new, lambda g, v: F.concat(g, F.coalesce(v, F.lit("")))), "")
+    text = F.array_join(F.zip_with("_gaps", new, lambda g, v: F.concat(g, F.coalesce(v, F.lit("")))), "")
     text = F.when(F.exists("_found", lambda s: s["k"].isNotNull()), text).otherwise(F.col("text")).alias("text")
     counts = [F.size(F.filter("_found", lambda s: s["k"].isNotNull())).cast("long").alias("n_found")]
     counts += [count(k).alias(f"n_{k}") for k in KINDS]

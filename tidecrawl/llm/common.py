@@ -1,54 +1,70 @@
-"""Helpers that several operators share: staged tables, Arrow text access, hashed words, components."""
+"""Helpers that several operators share: free column names, bitmaps, Arrow text access, hashed words, components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidecrawl.operators.tables import dropped as unstage  # noqa: F401
+from tidecrawl.operators.tables import written as stage  # noqa: F401
 
-# ---------------------------------------------------------------- staged tables
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only a local session, where every task runs in this process, may fall back to a temporary folder.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    found = tempfile.mkdtemp(prefix="tidecrawl-")
-    spark.conf.set("spark.checkpoint.dir", f"file://{found}")
-    return f"file://{found}"
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it again: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidecrawl/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._staged_path = path
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ---------------------------------------------------------------- columns
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, each led by underscores until no column has it."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
     return out
 
 
-def unstage(df: DataFrame) -> None:
-    """Delete a staged table that no later plan reads."""
-    spark = df.sparkSession
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(df._staged_path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+def without(docs: DataFrame, lost: DataFrame) -> DataFrame:
+    """docs without the rows that agree with one of lost(doc_id, th) in doc_id and xxhash64 of the text.
 
+    Null agrees with null. Rows of one doc_id but with other texts stay.
+    """
+    doc, th = unused(docs.columns, "lost_doc", "lost_text")
+    gone = lost.select(F.col("doc_id").alias(doc), F.col("th").alias(th)).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64(F.col("text").cast("string")) == F.col(th))
+    return docs.join(gone, same, "left_anti")
+
+
+# ---------------------------------------------------------------- bitmaps
+PLACES = 1 << 26  # bits of a bitmap: 8 MB, whatever it is made from
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+def _place(column: Column) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(PLACES))
+
+
+def bitmap_of(ids: DataFrame, column: str) -> DataFrame:
+    """(bucket, bits): the places that a column's values hash to; PLACES bits at most."""
+    rows = ids.select(_place(F.col(column)).alias("p"))
+    return rows.groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+
+
+def likely(rows: DataFrame, column: str, bitmap: DataFrame) -> DataFrame:
+    """rows without those whose value is surely not among the bitmap's. An exact join must follow.
+
+    What passes by chance grows with the share of places taken; when all are taken, all rows pass.
+    """
+    bucket, bits, at = unused(rows.columns, "bucket", "bits", "at")
+    known = F.broadcast(bitmap.select(F.col("bucket").alias(bucket), F.col("bits").alias(bits)))
+    place = _place(F.col(column))
+    met = rows.withColumns({bucket: F.bitmap_bucket_number(place), at: F.bitmap_bit_position(place)}).join(known, bucket)
+    byte = f"cast(conv(hex(substring(`{bits}`, cast(`{at}` div 8 as int) + 1, 1)), 16, 10) as int)"
+    return met.where(f"shiftright({byte}, cast(`{at}` % 8 as int)) % 2 = 1").select(rows.columns)
 
 
 # ---------------------------------------------------------------- text in Arrow batches
@@ -81,9 +97,9 @@ def slices(batches, column: str, limit: int):
 U = np.uint64
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-BASE = 0x9E3779B97F4A7C15 | 1
-BLOCK = 1 << 19
-_powers: dict[str, np.ndarray] = {}
+BLOCK = 1 << 20
+LANES = 8  # words of more than LANES * 8 bytes are hashed one by one
+MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def separators(*ranges: tuple[int, int]) -> np.ndarray:
@@ -95,26 +111,37 @@ def separators(*ranges: tuple[int, int]) -> np.ndarray:
 
 
 def mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser: every input bit reaches every output bit."""
+    """A 64-bit finaliser: a bijection in which every input bit reaches every output bit."""
     x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
     return x ^ (x >> U(31))
 
 
-def _power(kind: str, n: int) -> np.ndarray:
-    if kind not in _powers or len(_powers[kind]) < n:
-        step = BASE if kind == "up" else pow(BASE, -1, 1 << 64)
-        steps = np.full(max(n, BLOCK), step, np.uint64)
-        steps[0] = 1
-        _powers[kind] = np.cumprod(steps)
-    return _powers[kind]
+def word_hashes(letters: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit hashes of letters[start : start + size].
+
+    Eight bytes after eight go through the mixer, so different words of one length up to 8 never share a hash. Words
+    of more than LANES * 8 bytes get their XXH3.
+    """
+    padded = np.concatenate((letters, np.zeros(8, np.uint8)))
+    eight = np.ndarray((len(letters),), "<u8", padded, 0, (1,))  # the eight bytes from each place on
+    out = mix(size.astype(np.uint64) + U(0xD6E8FEB86659FD93))
+    short = np.flatnonzero(size <= 8 * LANES)
+    lane = 0
+    while len(short):
+        out[short] = mix((out[short] ^ (eight[start[short] + 8 * lane] & MASKS[np.minimum(8, size[short] - 8 * lane)])) * U(0x9E3779B97F4A7C15))
+        lane += 1
+        short = short[size[short] > 8 * lane]
+    for i in np.flatnonzero(size > 8 * LANES).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(letters[start[i] : start[i] + size[i]].tobytes())
+    return out
 
 
 def hashed_words(data: np.ndarray, offs: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of all rows, A-Z lower-cased, in order; and the number of words of each row.
 
     A word is a run of word bytes. Rows are read in blocks that end at separators, so that memory follows the
-    number of words and not eight times the bytes.
+    number of words and not a multiple of the bytes.
     """
     hashes, starts, at, total = [], [], 0, len(data)
     while at < total:
@@ -135,11 +162,7 @@ def hashed_words(data: np.ndarray, offs: np.ndarray, word: np.ndarray) -> tuple[
         s = np.flatnonzero(inside & (first[:-1] | ~before))
         e = np.flatnonzero(inside & (first[1:] | ~after))
         if len(s):
-            sums = part.astype(np.uint64) + U(1)
-            sums *= _power("up", len(part))[: len(part)]
-            np.cumsum(sums, out=sums)
-            left = np.where(s > 0, sums[s - 1], U(0))
-            hashes.append(mix((sums[e] - left) * _power("down", len(part))[s] + (e - s + 1).astype(np.uint64) * U(0xD6E8FEB86659FD93)))
+            hashes.append(word_hashes(part, s, e - s + 1))
             starts.append(s + at)
         at = end
     if not hashes:
@@ -164,7 +187,7 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("a").alias("v"), F.col("b").alias("root"))
         seen = mark
         both = now.select("a", "b").union(now.select("b", "a"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")).repartition("a")  # an exchange on either side lets AQE split a hot vertex
         large = both.where("b > a").join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = stage(large, "large")
         low = large.groupBy("a").agg(F.min("b").alias("m"))

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecrawl.llm.common import slices, stage
+from tidecrawl.llm.common import slices, stage, unused
 
 FANOUT_BITS = 4
 HEAD = "<qQqqI"
@@ -221,6 +221,13 @@ def exact_groups(docs: DataFrame, memory: int = 48 << 20) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame, memory: int = 48 << 20) -> DataFrame:
-    """docs without the rows that exact_groups() doesn't keep."""
-    lost = exact_groups(docs, memory).where("not kept").select("doc_id").distinct()
-    return docs.join(lost, "doc_id", "left_anti").select(docs.columns)
+    """docs without the rows that exact_groups() doesn't keep.
+
+    A row goes by doc_id and text together: rows that share a doc_id but not the text are judged one by one, and a
+    row that occurs twice stays or goes as one. A null doc_id is one like others, below all. All columns of docs are
+    kept as they are.
+    """
+    doc, sha = unused(docs.columns, "lost_doc", "lost_sha")
+    lost = exact_groups(docs, memory).where("not kept").select(F.col("doc_id").alias(doc), F.col("text_sha256").alias(sha)).distinct()
+    plain = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return docs.join(lost, F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.sha2(plain, 256) == F.col(sha)), "left_anti")

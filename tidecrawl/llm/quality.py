@@ -1,7 +1,7 @@
 """Quality classification by regularised quadratic discriminant analysis.
 
-Transformed statistics of a text (lengths, shares of character classes, repetition) are taken once per document. For
-each class the training rows give a mean and a covariance, shrunk towards a multiple of the identity. The score is
+Transformed statistics of a text (lengths, shares of character classes, repetition) are taken first for the documents
+that have a label. For each class these training rows give a mean and a covariance, shrunk towards a multiple of the identity. The score is
 the logistic of the difference of the two log densities, from Mahalanobis distances under cached Cholesky factors.
 """
 
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecrawl.llm.common import slices, stage
+from tidecrawl.llm.common import bitmap_of, likely, slices, unused
 
 STATS = ("chars", "words", "word_length", "long_words", "upper", "digits", "symbols", "points", "bars", "lines", "distinct", "top_word", "adjacent", "capital", "odd_ends", "repeated_lines", "high_bytes")
 SYMBOLS = np.zeros(256, bool)
@@ -146,19 +146,30 @@ def fit(rows: DataFrame, shrinkage: float = 0.1, temper: float = 0.5) -> Model:
     return Model(centre, scale, (n[0] / all_n, n[1] / all_n), means, factors, logdets, temper)
 
 
-def scored(stats: DataFrame, model: Model) -> DataFrame:
+def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """docs plus the score of each row's text, row by row: no join, whatever doc_ids there are."""
+    kinds = dict(docs.dtypes)
+
     def run(batches):
-        for batch in batches:
-            x = np.array(batch.column("stats").to_pylist(), float).reshape(-1, len(STATS))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.score(x))], names=["doc_id", "score"])
+        for batch in slices(batches, "text", 2 << 20):
+            x = np.array([statistics(t) for t in batch.column("text").to_pylist()])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(x))], names=[*batch.schema.names, name])
 
-    return stats.mapInArrow(run, "doc_id long, score double")
+    return docs.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in kinds.items()) + f", `{name}` double")
 
 
 def held_out(doc_id="doc_id", parts: int = 4, part: int = 2):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % parts == part, F.lit(False))
 
 
+def trained(docs: DataFrame, labels: DataFrame, shrinkage: float) -> Model:
+    """The model of the labels that are not held out. Texts without a label are mostly passed over by a bitmap of
+    doc_ids; the statistics of the others, not their texts, are joined with the labels."""
+    train = labels.where("quality in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where(~held_out())
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return fit(with_statistics(likely(rows, "doc_id", bitmap_of(train, "doc_id"))).join(train, "doc_id"), shrinkage)
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, shrinkage: float = 0.1) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of docs(doc_id, text, ...).
 
@@ -167,14 +178,16 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, s
     document, are left out; repeated ones count each time. Without labels of both classes the score is the share
     of label 1, or 0.5 without any. A null doc_id is never held out.
     """
-    stats = stage(with_statistics(docs.withColumn("doc_id", F.col("doc_id").cast("long"))), "stats")
-    train = labels.where("quality in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where(~held_out())
-    model = fit(stats.join(train, "doc_id"), shrinkage)
-    out = scored(stats, model)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    out = scored(rows, trained(rows, labels, shrinkage))
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """docs without the documents that the classifier rejects."""
-    bad = quality_scores(docs, labels, threshold).where("predicted = 0").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    """docs without the rows whose text the classifier rejects (a score below threshold).
+
+    Each row is judged by its own text: of rows that share a doc_id, null or not, only those with a bad text go, and
+    repeated rows are treated alike. All columns of docs are kept as they are, also those named like scores.
+    """
+    (score,) = unused(docs.columns, "score")
+    return scored(docs, trained(docs, labels, 0.1), score).where(F.col(score) >= threshold).drop(score)

@@ -7,20 +7,21 @@ come from forward-backward. A document's language is the one with the greatest e
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import regex
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidecrawl.llm.common import U, mix, slices
 
 BITS = 15
 SEGMENT = 32
-CACHE = 400_000
-FIND = re.compile(r"[^\W\d_]+").findall
+CACHE_BYTES = 64 << 20  # of remembered words and their potentials
+ENTRY = 200  # bytes that an entry takes besides
+FIND = regex.compile(r"\p{L}+").findall  # letters only: other numerals than digits are none
 
 
 def features(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -127,15 +128,17 @@ class Crf:
         self.langs, self.lexicon, self.weights, self.step = langs, lexicon, weights, np.exp(transitions)
         self.index: dict[str, int] = {}
         self.known = np.zeros((0, len(langs)))
+        self.held = 0
 
     def potentials(self, words: list[str]) -> np.ndarray:
-        """exp(emission) of each word; distinct words are scored once and remembered."""
-        if len(self.index) > CACHE:
-            self.index, self.known = {}, self.known[:0]
+        """exp(emission) of each word; distinct words are scored once and remembered, up to CACHE_BYTES."""
+        if self.held > CACHE_BYTES:
+            self.index, self.known, self.held = {}, self.known[:0], 0
         new = [w for w in dict.fromkeys(words) if w not in self.index]
         if new:
             e = emissions(new, self.lexicon, self.weights)
             self.index |= zip(new, range(len(self.index), len(self.index) + len(new)))
+            self.held += sum([4 * len(w) for w in new]) + len(new) * (ENTRY + 8 * len(self.langs))
             self.known = np.concatenate((self.known, np.exp(e - e.max(1, keepdims=True))))
         return self.known[np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))]
 
@@ -214,24 +217,30 @@ def train(samples: list[tuple[str, str]], rounds: int = 30, lexicon_size: int =
     return Crf(langs, lexicon, weights, np.clip(step, -8, 8) + 1e-3 * np.eye(k))
 
 
+LONG = 100_000  # bytes of a text beyond which shorter ones are learned from first
+
+
 def training_sample(docs: DataFrame, per_language: int) -> list[tuple[str, str]]:
-    """Whole texts of up to per_language documents of each language, those with the least hashes of doc_id."""
-    rows = docs.where("lang is not null and text is not null")
-    picked = []
-    for r in sorted(rows.select("lang").distinct().collect()):
-        top = rows.where(F.col("lang") == r.lang).select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(per_language)
-        picked += [x.doc_id for x in top.collect()]
-    texts = rows.where(F.col("doc_id").isin(picked)).select("text", "lang", "doc_id")
-    return [(r.text, r.lang) for r in sorted(texts.collect(), key=lambda r: (r.doc_id, r.text))]
+    """Whole texts of up to per_language documents of each language, those with the least hashes of doc_id.
+
+    Texts of more than LONG bytes come last. One pass picks the documents: each task keeps the first per_language of a
+    language before anything is shuffled. A second reads their texts, by a join with the picks.
+    """
+    rows = docs.where("doc_id is not null and lang is not null and text is not null")
+    first = Window.partitionBy("lang").orderBy("long", "h", "doc_id", "th")
+    keyed = rows.select("lang", "doc_id", (F.octet_length("text") > LONG).alias("long"), F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("th"))
+    picked = keyed.withColumn("k", F.row_number().over(first)).where(F.col("k") <= per_language).select("lang", "doc_id", "th").distinct()
+    texts = rows.withColumn("th", F.xxhash64("text")).join(F.broadcast(picked), ["lang", "doc_id", "th"], "left_semi").select("text", "lang", "doc_id").distinct()
+    return [(r.text, r.lang) for r in sorted(texts.collect(), key=lambda r: (r.doc_id, r.text, r.lang))]
 
 
 def identify_languages(docs: DataFrame, per_language: int = 150) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for each row of docs(doc_id, text, lang, ...).
 
     Fitted, on the driver, on a bounded sample: whole texts of at most per_language documents of each language whose
-    crc32(doc_id as text) mod 3 is not 1. Every document is labelled in full. lang_pred is und, with score 0, if
-    the text is null, empty or has no letter, or if no document has a language to learn from; score is the expected
-    share of the text's words in lang_pred.
+    crc32(doc_id as text) mod 3 is not 1; rows without a doc_id are not learned from. Every document is labelled in
+    full. lang_pred is und, with score 0, if the text is null, empty or has no letter, or if no document has a language
+    to learn from; score is the expected share of the text's words in lang_pred. Repeated rows are labelled alike.
     """
     spark = docs.sparkSession
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))

@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 
 from tidecrawl.llm.common import slices
 
-CACHE = 300_000
+CACHE_BYTES = 64 << 20  # of remembered pre-tokens and their ids
+ENTRY = 200  # bytes that an entry takes besides
+LONGEST = 1 << 10  # characters of a pre-token that is remembered
 NORMAL, UNKNOWN = 1, 2  # piece types of the model format
 BPE = 2  # model type of the model format
 
@@ -72,7 +74,7 @@ def read_ranks(path: str) -> list[bytes]:
 
 
 class ByteBpe:
-    """Encoder and decoder; holds the pre-tokens seen so far, up to CACHE of them."""
+    """Encoder and decoder; remembers pre-tokens seen so far, up to CACHE_BYTES of them."""
 
     def __init__(self, model: bytes, pattern: str) -> None:
         import regex
@@ -86,6 +88,7 @@ class ByteBpe:
         self.tokens = [bytes(back[c] for c in self.processor.id_to_piece(i)) for i in range(size)]
         self.whole = {t: i for i, t in enumerate(self.tokens)}
         self.seen: dict[str, bytes] = {}
+        self.held = 0
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
@@ -95,20 +98,26 @@ class ByteBpe:
             return b"".join([seen[w] for w in words])
         except KeyError:
             pass
-        if len(seen) > CACHE:
+        if self.held > CACHE_BYTES:
             seen.clear()
+            self.held = 0
+        found: dict[str, bytes] = {}
         missing = [w for w in set(words) if w not in seen]
         mapped, left = [], []
         for w in missing:
             raw = w.encode()
             if (i := self.whole.get(raw)) is not None:  # a whole token needs no merges
-                seen[w] = struct.pack("<I", i)
+                found[w] = struct.pack("<I", i)
             else:
                 mapped.append("".join([self.letters[b] for b in raw]))
                 left.append(w)
         for w, ids in zip(left, self.processor.encode(mapped, num_threads=1) if mapped else []):
-            seen[w] = np.array(ids, "<u4").tobytes()
-        return b"".join([seen[w] for w in words])
+            found[w] = np.array(ids, "<u4").tobytes()
+        for w, ids in found.items():
+            if len(w) <= LONGEST:
+                seen[w] = ids
+                self.held += 4 * len(w) + len(ids) + ENTRY
+        return b"".join([found[w] if w in found else seen[w] for w in words])
 
     def decode(self, ids: bytes) -> bytes:
         tokens = self.tokens

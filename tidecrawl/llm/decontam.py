@@ -1,8 +1,10 @@
 """Benchmark decontamination with suffix arrays over shards of the training text.
 
 A shard is a slice of documents. Its word sequence gets a suffix array, sparse in that only suffixes whose leading
-words start some benchmark window are held. Every benchmark suffix is binary-searched in it, all at once; ranges
-give the occurrences, and runs of them on one diagonal the longest verbatim matches. No shuffle takes place.
+words start some benchmark window are held, and ordered as far as a window reaches. Every benchmark suffix of a window
+or more, equal beginnings once, is binary-searched in it, all at once; ranges give the occurrences, which joined are
+the longest verbatim stretches of a document, and on one diagonal the longest matches with an item. No shuffle takes
+place.
 """
 
 from __future__ import annotations
@@ -14,11 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecrawl.llm.common import U, flat, hashed_words, mix, separators, slices
+from tidecrawl.llm.common import U, flat, hashed_words, mix, separators, slices, stage, unused
 
 WORD = separators((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F))
 SHARD_BYTES = 4 << 20
 GRAM = 3
+ROUND = 8  # blocks of the benchmark that one plan passes through
 
 
 def windows_of(ids: list[str], texts: list[bytes], width: int) -> dict:
@@ -118,16 +121,20 @@ def occurrences(words, counts, block, width):
     return shard, shard.at[rank], window
 
 
-def spans_pass(block: dict, width: int, keep: list[str], first: bool):
-    """Adds a block's covered word spans and items to each row; keep: the columns that pass through."""
+def spans_pass(sent, width: int, keep: list[str], made: list[str], first: bool):
+    """Adds a broadcast block's covered word spans and items to each row.
+
+    keep: the columns that pass through; made: names for the number of words, the spans and the items.
+    """
 
     def run(batches):
+        block = sent.value
         for batch in slices(batches, "text", SHARD_BYTES):
             data, offs = flat(batch.column("text"))
             words, counts = hashed_words(data, offs, WORD)
             n = batch.num_rows
-            spans = [b""] * n if first else batch.column("_spans").to_pylist()
-            items = [[] for _ in range(n)] if first else batch.column("_items").to_pylist()
+            spans = [b""] * n if first else batch.column(made[1]).to_pylist()
+            items = [[] for _ in range(n)] if first else batch.column(made[2]).to_pylist()
             if block["n"] and len(words):
                 shard, at, window = occurrences(words, counts, block, width)
                 if len(at):
@@ -144,7 +151,7 @@ def spans_pass(block: dict, width: int, keep: list[str], first: bool):
                     for d, i in zip((found // len(block["ids"])).tolist(), (found % len(block["ids"])).tolist()):
                         items[d].append(block["ids"][i])
             out = [batch.column(c) for c in keep] + [pa.array(counts, pa.int64()), pa.array(spans, pa.binary()), pa.array(items, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(out, names=[*keep, "_words", "_spans", "_items"])
+            yield pa.RecordBatch.from_arrays(out, names=[*keep, *made])
 
     return run
 
@@ -158,18 +165,20 @@ def merged(pairs: np.ndarray) -> np.ndarray:
     return np.stack((pairs[new, 0], reach[last]), 1).astype("<i4")
 
 
-def report(keep: list[str]):
+def report(keep: list[str], made: list[str], names: list[str]):
+    """Sums up the spans and items of each row under the names."""
+
     def run(batches):
         for batch in batches:
             hit, n_items, digest = [], [], []
-            for spans, items in zip(batch.column("_spans").to_pylist(), batch.column("_items").to_pylist()):
+            for spans, items in zip(batch.column(made[1]).to_pylist(), batch.column(made[2]).to_pylist()):
                 pairs = np.frombuffer(spans, "<i4").reshape(-1, 2)
                 hit.append(int(np.diff(merged(pairs), axis=1).sum()) if len(pairs) else 0)
                 ids = set(items)
                 n_items.append(len(ids))
                 digest.append(hashlib.sha256(",".join(sorted(ids - {None})).encode()).hexdigest())
-            cols = [*(batch.column(c) for c in keep), batch.column("_words"), pa.array(hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(digest, pa.string()), batch.column("_spans")]
-            yield pa.RecordBatch.from_arrays(cols, names=[*keep, "n_words", "n_hit", "n_items", "items_sha256", "_spans"])
+            cols = [*(batch.column(c) for c in keep), batch.column(made[0]), pa.array(hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(digest, pa.string()), batch.column(made[1])]
+            yield pa.RecordBatch.from_arrays(cols, names=[*keep, *names])
 
     return run
 
@@ -188,31 +197,49 @@ def blocks_of(benchmark: DataFrame, width: int, limit: int):
     yield windows_of(ids, texts, width)
 
 
+FOUND = ["n_words", "n_hit", "n_items", "items_sha256", "spans"]
+
+
+def _matched(docs: DataFrame, benchmark: DataFrame, width: int, block_bytes: int, keep: list[str], names: list[str]) -> DataFrame:
+    """The columns keep of docs plus what FOUND lists under the names."""
+    kinds = dict(docs.dtypes)
+    made = unused(keep, "words", "spans", "items")
+    passed = ", ".join(f"`{c}` {kinds[c]}" for c in dict.fromkeys([*keep, "text"]))
+    carried = list(dict.fromkeys([*keep, "text"]))
+    now = docs.select(carried)
+    for i, block in enumerate(blocks_of(benchmark, width, block_bytes)):
+        if i and i % ROUND == 0:
+            now = stage(now, "matched")
+        sent = docs.sparkSession.sparkContext.broadcast(block)
+        now = now.mapInArrow(spans_pass(sent, width, carried, made, i == 0), f"{passed}, `{made[0]}` long, `{made[1]}` binary, `{made[2]}` array<string>")
+    ddl = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), *(f"`{n}` {t}" for n, t in zip(names, ("long", "long", "long", "string", "binary")))])
+    return now.mapInArrow(report(keep, made, names), ddl)
+
+
 def match_documents(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = 4 << 20) -> DataFrame:
-    """All columns of docs plus n_words, n_hit, n_items, items_sha256, contaminated and spans.
+    """All columns of docs plus n_words, n_hit, n_items, items_sha256, spans and contaminated, which replace own ones
+    of these names.
 
     Words are runs of bytes outside 00-2F, 3A-60 and 7B-7F after lower-casing A-Z. A window is width consecutive
     words of an item; a shorter item is one window. n_hit counts document words inside any occurrence of a window;
-    spans lists the covered word ranges (the longest verbatim matches, joined where they touch). A null or empty
-    text has no words; items without words match nothing; equal items all count; items with a null item_id mark words
-    like others, count as one in n_items and are left out of items_sha256; an empty benchmark leaves every document clean. A benchmark beyond block_bytes is searched block by block, each in a further narrow pass.
+    spans lists the covered word ranges, as pairs of little-endian 32-bit integers: the longest verbatim matches,
+    joined where they touch. A null or empty text has no words; items without words match nothing; equal items all
+    count; items with a null item_id mark words like others, count as one in n_items and are left out of items_sha256;
+    an empty benchmark leaves every document clean; repeated rows are treated alike. A benchmark beyond block_bytes is
+    searched block by block, each in a further narrow pass; after every ROUND blocks the rows are written.
     """
-    keep = [c for c in docs.columns if c not in ("_words", "_spans", "_items")]
-    kinds = dict(docs.dtypes)
-    ddl = ", ".join(f"`{c}` {kinds[c]}" for c in keep)
-    now, first = docs.select(keep), True
-    for block in blocks_of(benchmark, width, block_bytes):
-        now = now.mapInArrow(spans_pass(block, width, keep, first), f"{ddl}, _words long, _spans binary, _items array<string>")
-        first = False
-    rest = [c for c in keep if c not in ("n_words", "n_hit", "n_items", "items_sha256")]
-    ddl = ", ".join(f"`{c}` {kinds[c]}" for c in rest)
-    out = now.mapInArrow(report(rest), f"{ddl}, n_words long, n_hit long, n_items long, items_sha256 string, _spans binary")
-    return out.withColumn("contaminated", F.col("n_hit") > 0).withColumnRenamed("_spans", "spans")
+    keep = [c for c in docs.columns if c not in (*FOUND, "contaminated")]
+    return _matched(docs, benchmark, width, block_bytes, keep, FOUND).withColumn("contaminated", F.col("n_hit") > 0)
+
 
+def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = 4 << 20) -> DataFrame:
+    """docs without the rows that share a window with the benchmark; all columns are kept as they are.
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
-    """docs without the documents that share a window with the benchmark."""
-    return match_documents(docs, benchmark, width).where("not contaminated").select(docs.columns)
+    Each row is judged by its own text, whatever its doc_id, null included.
+    """
+    names = unused(docs.columns, *FOUND)
+    found = _matched(docs, benchmark, width, block_bytes, docs.columns, names)
+    return found.where(F.col(names[1]) == 0).drop(*names)
 
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = 4 << 20) -> DataFrame:

@@ -1,8 +1,9 @@
 """Format-preserving pseudonyms for personal data, in DataFrame functions only.
 
 Every found value is permuted by a keyed Feistel network within its own format: digits stay digits, letters letters
-of the same case, cards keep a right check digit, addresses octets up to 255, dates stay calendar dates. Equal
-values so get equal pseudonyms in all documents, and different values different ones.
+of the same case and the same block of Unicode, cards keep a right check digit, addresses octets up to 255, dates stay
+calendar dates, social security numbers stay assignable. Equal values so get equal pseudonyms in all documents, and
+different values of a kind different ones; of secrets, those of hexadecimal digits only and all others by themselves.
 """
 
 from __future__ import annotations
@@ -10,16 +11,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidecrawl.llm.common import unused
+
 ROUNDS = 8
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-ACCENTED = "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿß"
-ACCENTED_UPPER = "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ"
-TEXT = (DIGITS, LOWER, UPPER, ACCENTED, ACCENTED_UPPER)
+TEXT = (DIGITS, LOWER, UPPER)
+BLOCK = 128  # code points; other letters and numerals move among those of their category in an aligned block
+CATEGORIES = (r"\p{Ll}", r"\p{Lu}", r"\p{Lt}", r"\p{Lm}", r"\p{Lo}", r"\p{Nd}", r"\p{Nl}", r"\p{No}")
 LONG = 100  # characters of half a value beyond which its hash stands for it, so that work grows with its length
 DAY_ZERO, DAYS = "1000-01-01", (730, 1000)  # dates from there on, as a product of two near sizes
+AREAS, GROUPS, SERIALS = 898, 99, 9999  # of social security numbers: 001-899 without 666, 01-99, 0001-9999
 
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+"
+EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++"  # possessive throughout: a group that may be given back is matched by recursion
 ADDRESS = rf"(?<![\w.])(?:{OCTET}\.){{3}}{OCTET}(?!\w|\.\d)"
 DATE = r"(?<![\w/-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\w/-]|\.\d)"
 PHONE = r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\w.+-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])"
@@ -27,6 +31,7 @@ SSN = r"(?<![\w-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\w-])"
 CARD = r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?!\w)"
 SECRET = r"(?i:(?:token|secret|password|passwd|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"'][^\"'\s]{8,}+[\"'])"
 KINDS = {"email": EMAIL, "ip": ADDRESS, "date": DATE, "ssn": SSN, "phone": PHONE, "card": CARD, "secret": SECRET}
+HINT = r"@|\d[ .-]?\d|[=:]\s{0,3}[\"']"  # every value of any kind has one of these
 BUT_CARDS = "|".join(p for k, p in KINDS.items() if k != "card")
 RUN = r"(?<![\w.+-])(?=\d(?:[ -]?\d){12})\d++(?!\w)(?:[ -]\d++(?!\w))*+"  # all groups of digits with a separator between
 
@@ -51,7 +56,7 @@ def turned(x: Column, other: Column, k: Column, key: str, alphabets: tuple[str,
 
     def move(c, i, size, told):
         by = prf(key, k, i, size, told)
-        out = c
+        out = F.when(c.rlike(r"[\p{L}\p{N}&&[^\p{ASCII}]]"), let(F.struct(c.alias("c"), by.alias("by")), lambda v: in_block(v["c"], v["by"]))).otherwise(c) if alphabets is TEXT else c
         for a in reversed(alphabets):
             at = F.instr(F.lit(a), c)
             out = F.when(at > 0, F.substring(F.lit(a), (F.pmod(at - 1 + by, F.lit(len(a))) + 1).cast("int"), F.lit(1))).otherwise(out)
@@ -61,6 +66,26 @@ def turned(x: Column, other: Column, k: Column, key: str, alphabets: tuple[str,
     return let(known, lambda v: F.array_join(F.transform(letters(x), lambda c, i: move(c, i, v["n"], v["t"])), ""))
 
 
+def category(c: Column) -> Column:
+    out = F.lit(-1)
+    for i, pattern in enumerate(CATEGORIES):
+        out = F.when(c.rlike(pattern), i).otherwise(out)
+    return out
+
+
+def in_block(c: Column, by: Column) -> Column:
+    """c moved among the characters of its category in its block.
+
+    An odd step leads through the whole block and back to c; the first one on the way that is of c's category is taken.
+    Walking a permutation of the block until a subset is met again permutes the subset.
+    """
+    code = F.ascii(c)  # the code point
+    at = F.struct(c.alias("c"), (code - F.pmod(code, F.lit(BLOCK))).alias("base"), F.pmod(code, F.lit(BLOCK)).alias("off"), (F.pmod(by, F.lit(BLOCK // 2)) * 2 + 1).alias("step"), category(c).alias("kind"))
+    char = lambda p: F.decode(F.unhex(F.lpad(F.hex(p), 8, "0")), "UTF-32")
+    walk = lambda v: F.transform(F.sequence(F.lit(1), F.lit(BLOCK)), lambda i: char(v["base"] + F.pmod(v["off"] + i * v["step"], F.lit(BLOCK))))
+    return let(at, lambda v: F.get(F.filter(walk(v), lambda x: category(x) == v["kind"]), F.lit(0)))
+
+
 def permuted(x: Column, key: str, alphabets: tuple[str, ...] = TEXT) -> Column:
     """A bijection on the strings of x's format; an even number of rounds brings both halves back to their places."""
     half = F.floor(F.length(x) / 2).cast("int")
@@ -166,7 +191,11 @@ def pseudonym(x: Column, kind: Column, key: str) -> Column:
 
     code = F.length(only_digits(F.regexp_extract(x, r"^\+(\d{1,3})(?=\D)", 1)))  # a country code stays
     phone = refilled(x, F.concat(F.substring(digits, F.lit(1), code), permuted(F.substring(digits, code + 1, F.length(digits)), f"{key}phone", (DIGITS,))))
-    ssn = refilled(x, permuted(digits, f"{key}ssn", (DIGITS,)))
+
+    area, group, serial = (F.substring(digits, a, n).cast("long") for a, n in ((1, 3), (4, 2), (6, 4)))
+    number = lambda v, n: F.lpad(v.cast("string"), n, "0")
+    shown = lambda s: F.concat_ws("-", number(s["l"] + F.when(s["l"] < 665, 1).otherwise(2), 3), number(F.floor(s["r"] / SERIALS) + 1, 2), number(s["r"] % SERIALS + 1, 4))
+    ssn = permuted_pair(area - F.when(area < 666, 1).otherwise(2), (group - 1) * SERIALS + serial - 1, (AREAS, GROUPS * SERIALS), f"{key}ssn", shown)
 
     body = F.concat(F.substring(digits, 1, 1), permuted(F.substring(digits, F.lit(2), F.length(digits) - 2), f"{key}card", (DIGITS,)))
     card = refilled(x, let(body, lambda d: F.concat(d, F.pmod(-luhn(d, 1), F.lit(10)).cast("string"))))
@@ -186,23 +215,28 @@ def pseudonym(x: Column, kind: Column, key: str) -> Column:
 def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """docs with text pseudonymised under the key, plus n_found and n_<kind> for each kind.
 
-    Kinds: e-mail addresses (the part before @ is permuted), IPv4 addresses, calendar dates from 1000 to 2998, US
+    Kinds: e-mail addresses (the part before @ is permuted, in any script), IPv4 addresses, calendar dates from 1000 to 2998, US
     social security numbers, telephone numbers, card numbers with a right check digit, and quoted secrets of 8
     characters or more after token, password and the like. What fails validation stays; of digits in a row of groups, the
-    leftmost and then longest stretches of whole groups that are cards count. Null text stays null with counts 0. Repeated rows
-    are treated alike; all columns of docs are kept, but for own ones that have the added names.
+    leftmost and then longest stretches of whole groups that are cards count. Values of any length are whole. Null
+    text stays null with counts 0. Repeated rows are treated alike; all columns of docs are kept as they are, but for
+    own ones that have the added names.
     """
-    def count(kind):
-        return F.size(F.filter("_found", lambda s: s["k"] == kind)).cast("long")
-
     names = ["n_found", *(f"n_{k}" for k in KINDS)]
     keep = [F.col(c) for c in docs.columns if c not in (*names, "text")]
-    asked = docs.withColumn("_found", pattern_of(F.col("text")))
-    found = asked.withColumn("_found", F.struct(F.coalesce(F.regexp_extract_all("text", F.col("_found"), F.lit(0)), F.array().cast("array<string>")).alias("x"), F.split("text", F.col("_found"), -1).alias("gaps")))
-    marked = found.withColumn("_gaps", F.col("_found.gaps")).withColumn("_found", F.transform("_found.x", lambda x: F.struct(x.alias("v"), kind_of(x).alias("k"))))
-    new = F.transform("_found", lambda s: pseudonym(s["v"], s["k"], key))
-    text = F.array_join(F.zip_with("_gaps", new, lambda g, v: F.concat(g, F.coalesce(v, F.lit("")))), "")
-    text = F.when(F.exists("_found", lambda s: s["k"].isNotNull()), text).otherwise(F.col("text")).alias("text")
-    counts = [F.size(F.filter("_found", lambda s: s["k"].isNotNull())).cast("long").alias("n_found")]
-    counts += [count(k).alias(f"n_{k}") for k in KINDS]
-    return marked.select(*keep, text, *counts)
+    asked, met, marked = unused(docs.columns, "asked", "met", "marked")
+    none = F.array().cast("array<string>")
+    rows = docs.withColumn(asked, F.when(F.col("text").rlike(HINT), pattern_of(F.col("text"))))
+    parts = F.struct(F.coalesce(F.regexp_extract_all("text", F.col(asked), F.lit(0)), none).alias("x"), F.split("text", F.col(asked), -1).alias("gaps"))
+    rows = rows.withColumn(met, F.when(F.col(asked).isNotNull(), parts))
+    values = F.transform(F.coalesce(F.col(f"{met}.x"), none), lambda x: F.struct(x.alias("v"), kind_of(x).alias("k")))
+    rows = rows.withColumn(marked, values)
+    new = F.transform(marked, lambda s: pseudonym(s["v"], s["k"], key))
+    text = F.array_join(F.zip_with(f"{met}.gaps", new, lambda g, v: F.concat(g, F.coalesce(v, F.lit("")))), "")
+    text = F.when(F.exists(marked, lambda s: s["k"].isNotNull()), text).otherwise(F.col("text")).alias("text")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(marked, lambda s: s["k"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [F.size(F.filter(marked, lambda s: s["k"].isNotNull())).cast("long").alias("n_found"), *map(count, KINDS)]
+    return rows.select(*keep, text, *counts)

@@ -1,19 +1,22 @@
 """Sharding by best-fit-decreasing bin packing of indivisible groups.
 
-Equal texts are one group. The driver sees only how many groups have each size, at most sqrt(2 * total bytes)
-numbers, and packs runs of equal groups: the largest first, each into the bin with the tightest remaining capacity
-that fits, found in a balanced tree of remaining capacities. Groups then look up their run, in Spark.
+Equal texts are one group. Groups of one size are a run, so there are sqrt(2 * total bytes) runs at most. These are
+packed in one stream, the largest first: each group goes into the bin with the tightest remaining capacity that fits,
+found in a balanced tree of remaining capacities. The stream's task holds the bins and nothing else; neither it nor the
+driver ever holds the runs. Groups then look up their run, in Spark.
 """
 
 from __future__ import annotations
 
 import random
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidecrawl.llm.common import stage
+from tidecrawl.llm.common import stage, unstage
 
 SALTS = 64
 SLOT_BUCKETS = 1024
@@ -78,16 +81,16 @@ class Bins:
         return node.key
 
 
-def pack(runs: list[tuple[int, int]], bins: int | None, capacity: int) -> list[tuple[int, int, int, int]]:
-    """Best fit, decreasing, of runs (size, how many): (size, first, end, bin) for ranks first..end-1 of that size.
+def pack(runs: Iterable[tuple[int, int]], bins: int | None, capacity: int) -> Iterator[tuple[int, int, int, int]]:
+    """Best fit of runs (size, how many) that come with falling sizes: (size, first, end, bin) for ranks first..end-1.
 
     With bins None, new bins open as needed, and a group larger than the capacity has a bin to itself. With a fixed
     number of bins, what fits in none goes to the bin with most room.
     """
-    found, out, opened = Bins(), [], bins or 0
+    found, opened = Bins(), bins or 0
     for b in range(opened):
         found.add(capacity, b)
-    for size, n in sorted(runs, reverse=True):
+    for size, n in runs:
         rank = 0
         while rank < n:
             at = found.take(size)
@@ -98,16 +101,18 @@ def pack(runs: list[tuple[int, int]], bins: int | None, capacity: int) -> list[t
                 some = 1
             else:
                 some = min(n - rank, at[0] // size)
-            out.append((size, rank, rank + some, at[1]))
+            yield size, rank, rank + some, at[1]
             found.add(at[0] - some * size, at[1])
             rank += some
-    return out
 
 
-def level(total: int, runs: list[tuple[int, int]], bins: int) -> int:
-    """The capacity that makes bins of near equal size: groups above the mean get a bin each and leave the rest."""
+def level(total: int, runs: Iterable[tuple[int, int]], bins: int) -> int:
+    """The capacity that makes bins of near equal size: groups above the mean get a bin each and leave the rest.
+
+    Reads no more than the first bins runs, which come with falling sizes.
+    """
     left, free = total, bins
-    for size, n in sorted(runs, reverse=True):
+    for size, n in runs:
         for _ in range(min(n, free)):
             if free > 1 and size * free > left:
                 left, free = left - size, free - 1
@@ -116,26 +121,52 @@ def level(total: int, runs: list[tuple[int, int]], bins: int) -> int:
     return max(1, -(-left // max(1, free)))
 
 
+def packed(bins: int | None, capacity: int):
+    """Sorted rows (whole, n) -> (whole, first, end, shard), in a stream."""
+    names = ["whole", "first", "end", "shard"]
+
+    def run(batches):
+        runs = ((size, n) for batch in batches for size, n in zip(batch.column("whole").to_pylist(), batch.column("n").to_pylist()))
+        out = []
+
+        def batch_of():
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int32()))], names=names)
+
+        for row in pack(runs, bins, capacity):
+            out.append(row)
+            if len(out) == 10_000:
+                yield batch_of()
+                out = []
+        if out:
+            yield batch_of()
+
+    return run
+
+
 def shard_documents(docs: DataFrame, shards: int | None = 16, capacity: int | None = None) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) for each row of docs(doc_id, text, ...).
 
     A row's size is the UTF-8 bytes of its text, 0 for null, plus 1; null and empty texts are one group. With
     shards, the law "bytes" holds: sizes near equal, a group larger than its share alone in its shard. With
     capacity instead, as few shards of that capacity as best-fit-decreasing finds. Slots run from 0 in each shard,
-    without gaps, in an order that a hash of doc_id gives. grown_shard is null, as it is for this law. An empty
-    table gives an empty result.
+    without gaps, in an order that a hash of doc_id gives. grown_shard is null, as it is for this law. Null doc_ids and
+    repeated rows have a slot each. Other columns are ignored. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("key"))
     rows = stage(rows, "sizes")
     groups = rows.groupBy("key").agg(F.sum("size").alias("whole")).withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)))
     groups = stage(groups, "bins")
     cells = groups.groupBy("whole", "salt").agg(F.count("*").alias("n"))
-    runs = [(r.whole, r.n) for r in cells.groupBy("whole").agg(F.sum("n").alias("n")).toLocalIterator()]
-    total = sum(s * n for s, n in runs)
-    plan = pack(runs, None, capacity) if capacity else pack(runs, shards, level(total, runs, shards))
-    plan = spark.createDataFrame(plan, "whole long, first long, end long, shard int")
+    runs = stage(cells.groupBy("whole").agg(F.sum("n").alias("n")), "runs")
+    if not capacity:
+        total = runs.agg(F.sum(F.col("whole") * F.col("n"))).first()[0] or 0
+        largest = [(r.whole, r.n) for r in runs.orderBy(F.desc("whole")).limit(shards + 1).collect()]
+        at, bins = level(total, largest, shards), shards
+    else:
+        at, bins = capacity, None
+    ordered = runs.repartition(1).sortWithinPartitions(F.desc("whole"))  # best fit is one sequence; it streams
+    plan = stage(ordered.mapInArrow(packed(bins, at), "whole long, first long, end long, shard int"), "plan")
 
     before = F.sum("n").over(Window.partitionBy("whole").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
     cells = cells.select("whole", "salt", F.coalesce(before, F.lit(0)).alias("base"))
@@ -143,6 +174,7 @@ def shard_documents(docs: DataFrame, shards: int | None = 16, capacity: int | No
     ranked = ranked.join(cells, ["whole", "salt"]).select("key", "whole", (F.col("base") + F.col("k")).alias("rank"))
     placed = ranked.join(plan, (ranked["whole"] == plan["whole"]) & (ranked["rank"] >= plan["first"]) & (ranked["rank"] < plan["end"])).select("key", "shard")
     placed = stage(rows.join(placed, "key").select("doc_id", "size", "text_crc32", "shard", F.pmod(F.xxhash64("doc_id", "key"), F.lit(SLOT_BUCKETS)).alias("bucket")), "placed")
+    unstage(rows, groups, runs, plan)
 
     counts = placed.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))

@@ -1,8 +1,9 @@
 """Chat formatting by schema fingerprints.
 
-A record's nested field paths, with the kinds of their values, are hashed; the fingerprint selects a declarative
-mapping that says where turns, roles and texts lie. Prompt, instruction, message and turn-row layouts so become
-canonical turns, and these one marked-up text in which control strings inside texts are escaped reversibly.
+A record's nested field paths, with the kinds of their values, are hashed, as far as any layout knows them; the
+fingerprint selects a declarative mapping that says where turns, roles and texts lie. Prompt, instruction, message and
+turn-row layouts so become canonical turns, and these one marked-up text in which control strings inside texts are
+escaped reversibly. Records without a mapping go whole to a table of rejects.
 """
 
 from __future__ import annotations
@@ -31,21 +32,19 @@ def paths(value, at: str = "") -> set[str]:
     return {f"{at}:{kind}"}
 
 
-def fingerprint(value, ignore: frozenset[str] = frozenset({".conv_id", ".turn"})) -> str:
-    """Hash of the field paths; numbering fields don't count."""
-    own = sorted(p for p in paths(value) if p.rpartition(":")[0] not in ignore)
-    return hashlib.sha256("\n".join(own).encode()).hexdigest()[:16]
-
-
 #: Each layout: an example of its shape, and its mapping. A mapping lists sources of turns in order:
-#: ("each", list path, role path, text path) or ("one", role, text path) or ("row", role path, text path);
-#: a text path may name several fields, joined by blank lines.
+#: ("each", list path, role path, text path) or ("one", role, text path) or ("row", role path, text path).
+#: A path may name several, joined by +; dots lead into nested fields and through lists. The texts found are joined by
+#: blank lines.
+PARTS = "content+content.text"  # a text, or a list of typed parts with texts
 LAYOUTS = [
     ({"role": "", "text": ""}, [("row", "role", "text")]),
     ({"role": ""}, [("row", "role", "text")]),
     ({"text": ""}, [("row", "role", "text")]),
     ({}, [("row", "role", "text")]),
-    ({"messages": [{"role": "", "content": ""}]}, [("each", "messages", "role", "content")]),
+    ({"messages": [{"role": "", "content": ""}]}, [("each", "messages", "role", PARTS)]),
+    ({"messages": [{"role": "", "content": [{"type": "", "text": ""}]}]}, [("each", "messages", "role", PARTS)]),
+    ({"messages": [{"role": "", "content": ""}, {"role": "", "content": [{"type": "", "text": ""}]}]}, [("each", "messages", "role", PARTS)]),
     ({"messages": [{"role": "", "text": ""}]}, [("each", "messages", "role", "text")]),
     ({"conversations": [{"from": "", "value": ""}]}, [("each", "conversations", "from", "value")]),
     ({"prompt": "", "completion": ""}, [("one", "user", "prompt"), ("one", "assistant", "completion")]),
@@ -54,29 +53,56 @@ LAYOUTS = [
     ({"instruction": "", "output": ""}, [("one", "user", "instruction"), ("one", "assistant", "output")]),
     ({"instruction": "", "input": "", "output": ""}, [("one", "user", "instruction+input"), ("one", "assistant", "output")]),
     ({"system": "", "instruction": "", "output": ""}, [("one", "system", "system"), ("one", "user", "instruction"), ("one", "assistant", "output")]),
+    ({"system": "", "instruction": "", "input": "", "output": ""}, [("one", "system", "system"), ("one", "user", "instruction+input"), ("one", "assistant", "output")]),
 ]
-MAPPINGS = {fingerprint(shape): mapping for shape, mapping in LAYOUTS}
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
-def turns_of(record: dict, mappings: dict[str, list]) -> list[tuple[str, str]] | None:
-    """The canonical (role, text) turns of a record, or None if no mapping has its fingerprint."""
-    mapping = mappings.get(fingerprint(record))
-    if mapping is None:
-        return None
+class Layouts:
+    """Mappings by the fingerprint of their shape. Only field paths that some layout names count in a fingerprint, so
+    numbering, sources and other extra fields don't keep a record from its mapping."""
 
-    def text(value, names):
-        return "\n\n".join(str(v) for n in names.split("+") if (v := value.get(n)) is not None)
+    def __init__(self, layouts: list[tuple[dict, list]]) -> None:
+        self.known = frozenset().union(*(paths(shape) for shape, _ in layouts))
+        self.mappings = {self.fingerprint(shape): mapping for shape, mapping in layouts}
+
+    def fingerprint(self, record) -> str:
+        own = sorted(paths(record) & self.known) if isinstance(record, dict) else ["not a record"]
+        return hashlib.sha256("\n".join(own).encode()).hexdigest()[:16]
+
+    def turns_of(self, record) -> list[tuple[str, str]]:
+        """The canonical (role, text) turns of a record; none if no mapping has its fingerprint.
+
+        A turn row needs its text field, though that may be null: else the text would lie in a field that isn't known.
+        """
+        mapping = self.mappings.get(self.fingerprint(record))
+        if mapping is None or not isinstance(record, dict):
+            return []
+        out = []
+        for how, *rule in mapping:
+            if how == "each":
+                out += [(ROLES.get(r := joined(x, rule[1]), r), joined(x, rule[2])) for x in record.get(rule[0]) or [] if isinstance(x, dict)]
+            elif how == "one":
+                out.append((rule[0], joined(record, rule[1])))
+            elif rule[1] in record:
+                out.append((joined(record, rule[0]), joined(record, rule[1])))
+        return out
 
-    out = []
-    for how, *rule in mapping:
-        if how == "each":
-            out += [(ROLES.get(r := text(x, rule[1]), r), text(x, rule[2])) for x in record.get(rule[0]) or [] if isinstance(x, dict)]
-        elif how == "one":
-            out.append((rule[0], text(record, rule[1])))
-        else:
-            out.append((text(record, rule[0]), text(record, rule[1])))
-    return out
+
+def found_at(value, steps: list[str]):
+    """The texts, numbers and flags that a path leads to, through lists."""
+    if isinstance(value, list):
+        for x in value:
+            yield from found_at(x, steps)
+    elif steps:
+        if isinstance(value, dict) and steps[0] in value:
+            yield from found_at(value[steps[0]], steps[1:])
+    elif value is not None and not isinstance(value, dict):
+        yield str(value)
+
+
+def joined(value: dict, names: str) -> str:
+    return "\n\n".join(x for n in names.split("+") for x in found_at(value, n.split(".")))
 
 
 # ---------------------------------------------------------------- template
@@ -120,17 +146,19 @@ def read_back(formatted: str) -> list[tuple[str, str]]:
 
 
 # ---------------------------------------------------------------- operators
-def canonical_turns(records: DataFrame, mappings: dict[str, list] | None = None) -> DataFrame:
-    """(conv_id, turn, part, role, text, layout) from records(conv_id, turn, record): record is JSON text.
+def canonical_turns(records: DataFrame, layouts: list[tuple[dict, list]] | None = None) -> DataFrame:
+    """(conv_id, turn, part, role, text, layout, reject) from records(conv_id, turn, record): record is JSON text.
 
-    One row for each canonical turn, part numbering those of one record. Records that are null, no JSON object, or
-    of a layout without a mapping give one row with null role and text and their fingerprint in layout, so that
-    nothing is lost unseen.
+    One row for each canonical turn, part numbering those of one record; layout is its fingerprint. Records that are
+    null, no JSON object, of a layout without a mapping or without any turn give one row that holds the whole record in
+    reject (an empty text for null), without role and text: see rejected(). A record that occurs twice gives its turns
+    twice; other columns are ignored.
     """
-    known = MAPPINGS if mappings is None else mappings
-    names = ["conv_id", "turn", "part", "role", "text", "layout"]
+    known = LAYOUTS if layouts is None else layouts
+    names = ["conv_id", "turn", "part", "role", "text", "layout", "reject"]
 
     def run(batches):
+        made = Layouts(known)
         for batch in batches:
             out = []
             for conv, turn, raw in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "turn", "record"))):
@@ -138,19 +166,25 @@ def canonical_turns(records: DataFrame, mappings: dict[str, list] | None = None)
                     record = json.loads(raw or "null")
                 except ValueError:
                     record = None
-                turns = turns_of(record, known) if isinstance(record, dict) else None
-                layout = fingerprint(record)
-                out += [(conv, turn, k, r, t, layout) for k, (r, t) in enumerate(turns)] if turns is not None else [(conv, turn, 0, None, None, layout)]
+                turns, layout = made.turns_of(record), made.fingerprint(record)
+                out += [(conv, turn, k, r, t, layout, None) for k, (r, t) in enumerate(turns)] or [(conv, turn, 0, None, None, layout, raw or "")]
             if out:
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string()]
+                kinds = [pa.int64(), pa.int64(), pa.int32(), *[pa.string()] * 4]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
     rows = records.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "record")
-    return rows.mapInArrow(run, "conv_id long, turn long, part int, role string, text string, layout string")
+    return rows.mapInArrow(run, "conv_id long, turn long, part int, role string, text string, layout string, reject string")
+
+
+def rejected(turns: DataFrame) -> DataFrame:
+    """(conv_id, turn, layout, record): the records of canonical_turns() that no mapping took, whole."""
+    return turns.where("reject is not null").select("conv_id", "turn", "layout", F.col("reject").alias("record"))
 
 
 def _sorted_turns(turns: DataFrame) -> DataFrame:
     cols = [c for c in ("turn", "part", "role", "text") if c in turns.columns]
+    if {"reject", "layout"} <= set(turns.columns):
+        turns = turns.where("reject is null")
     return turns.select("conv_id", *cols).repartition("conv_id").sortWithinPartitions("conv_id", *cols)
 
 
@@ -159,7 +193,8 @@ def format_turns(turns: DataFrame) -> DataFrame:
 
     One formatted piece for each turn, in order; a conversation's text is its pieces joined. The loss covers
     characters loss_from..loss_to-1 of a piece, an assistant's text. Turns are ordered by turn, part, role and text,
-    nulls first; null role and text are empty; a turn that occurs twice is formatted twice. A conversation's turns
+    nulls first; null role and text are empty; a turn that occurs twice is formatted twice. Records that
+    canonical_turns() rejected are left out; other columns are ignored. A conversation's turns
     stream through one task in order, so a long one needs no memory.
     """
     names = ["conv_id", "turn_no", "formatted", "loss_from", "loss_to"]

@@ -3,14 +3,18 @@ empty tables and extra columns whose names clash."""
 
 import hashlib
 import re
+import subprocess
+import sys
+import unicodedata
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tests.llm.plain_pii import pseudonymised
 from tidecrawl.llm import bpe, chat, decontam, exact_dedup, jaccard, langid, line_dedup, pii, quality, sharding
-from tidecrawl.llm.common import components
+from tidecrawl.llm.common import bitmap_of, components, flat, hashed_words, likely
 
 EXTRA = "doc_id long, text string, lang string, rep long, n_words long, size long, _found string, n_lines int, shard string, score double"
 
@@ -23,6 +27,91 @@ def table(spark, texts, first=0):
 ODD = [None, "", "", " ", "A b C", "a B c", "É x", "é x", "one two", "one two", "word " * 30_000, "x" * 200_000, "\n\n\n", "a\x00b", "🙂 漢字"]
 
 
+# ---------------------------------------------------------------- rows and columns that must not get lost
+NAMED = "doc_id long, text string, lost_doc string, th int, spans string, words int, n_words string, contaminated string, score string, _id string, _text int, starts int, parts string, asked string, met string, marked int, n_hit string, bucket int, at int, bits string"
+GOOD = "A plain text about the harbour, its boats and the people who live there. It has whole sentences, in order."
+LONG = " ".join(f"w{i}" for i in range(40))
+CLEAR = ["aaa", "AAA", "unique text", None, "", LONG, LONG + " more", "a\nb\nc\nd", "z\na\nb\nc", "write jo.34@mail7.example.com"]
+
+
+def named(spark, rows):
+    """Rows (doc_id, text) with columns that are called like the operators' own, and the values of these by text."""
+    extra = [("mine", 7, "spans of mine", 1, "2", "no", "high", "id", 3, 4, "p", "q", "m", 5, "h", 6, 8, "b")]
+    return spark.createDataFrame([(i, t, *extra[0]) for i, t in rows], NAMED), extra[0]
+
+
+def kept(frame, extra):
+    """(doc_id, text) of the rows; their other columns must be as they were."""
+    rows = frame.collect()
+    assert frame.columns == [x.split()[0] for x in NAMED.split(", ")] and all(tuple(r)[2:] == extra for r in rows)
+    return Counter((r.doc_id, r.text) for r in rows)
+
+
+def test_rows_are_judged_one_by_one(spark):
+    """Repeated doc_ids with unlike texts, null doc_ids and repeated rows, with clashing column names."""
+    ids = [5, 9, 5, None, 7, 8, 5, None, 6, None]
+    rows = list(zip(ids, CLEAR)) + [(5, "unique text"), (None, None)]
+    docs, extra = named(spark, rows)
+    every = Counter(rows)
+
+    got = kept(exact_dedup.drop_copies(docs), extra)
+    assert got == every - Counter([(5, "aaa"), (None, None), (None, None)])  # null and empty are one text; 7 outranks null
+
+    got = kept(jaccard.drop_similar(docs, 3, 8, 10), extra)
+    assert got == every - Counter([(9, "AAA"), (8, LONG)])  # 5 is the least number in both
+
+    item = spark.createDataFrame([(1, LONG)], "item_id long, text string")
+    assert kept(decontam.decontaminate(docs, item), extra) == every - Counter([(8, LONG), (5, LONG + " more")])
+
+    lines = line_dedup.drop_repeated_lines(docs, names=("l", "r"))
+    by = {(r.doc_id, r.text): (r.l, r.r) for r in lines.collect()}
+    assert kept(lines.drop("l", "r"), extra) == every - Counter([(6, "z\na\nb\nc")]) + Counter([(6, "z")])
+    assert by[6, "z"] == (4, 3) and by[None, "a\nb\nc\nd"] == (4, 0)
+
+    found = pii.pseudonymise(docs, "k")
+    new = kept(found.select(docs.columns), extra)
+    assert len(new - every) == 1 and sum((new & every).values()) == len(rows) - 1
+
+
+def test_keep_good_judges_texts(spark):
+    good, bad = [f"{GOOD} {i} of them were seen." for i in range(40)], [f"$$$ ||| {i} BUY!!! BUY!!! ### ==> {i * 7}" for i in range(40)]
+    labels = spark.createDataFrame([(i, int(i < 40)) for i in range(80)], "doc_id long, quality int")
+    docs, extra = named(spark, list(enumerate(good + bad)) + [(3, bad[3]), (50, good[5]), (None, good[6]), (None, bad[6]), (7, good[7])])
+    got = kept(quality.keep_good(docs, labels, 0.5), extra)
+    assert got == Counter([*enumerate(good), (50, good[5]), (None, good[6]), (7, good[7])])
+
+
+def test_word_hashes():
+    """Thue-Morse words and their complements, which polynomial hashes modulo a power of two confuse; long words."""
+    words = []
+    for bits in range(5, 13):
+        word = bytes(97 + bin(i).count("1") % 2 for i in range(1 << bits))
+        words += [word, word.translate(bytes.maketrans(b"ab", b"ba"))]
+    words += [b"x" * n for n in (*range(1, 70), 1 << 19, 1 << 20, (1 << 20) + 1)] + [b"aB", b"a\xc3\xa9"]
+    table = np.ones(256, bool)
+    table[32] = False
+    import pyarrow as pa
+
+    hashes, counts = hashed_words(*flat(pa.array([b" ".join(words), None, words[0]])), table)
+    assert counts.tolist() == [len(words), 0, 1] and len(set(hashes.tolist())) == len(words) and hashes[0] == hashes[-1]
+
+
+def test_confusable_words(spark):
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    texts = [word, word.translate(str.maketrans("ab", "ba")), word.upper()]
+    got = jaccard.similar_components(table(spark, texts), 3, 9, 10).collect()
+    assert sorted(map(tuple, got)) == [(0, 1, 0), (1, 1, 1), (2, 1, 0)]
+    item = spark.createDataFrame([(1, texts[0])], "item_id long, text string")
+    assert [r.contaminated for r in decontam.match_documents(table(spark, texts), item).orderBy("doc_id").collect()] == [True, False, True]
+
+
+def test_bitmap(spark):
+    rows, ids = spark.range(0, 20_000), spark.range(0, 20_000, 7)
+    got = {r.id for r in likely(rows, "id", bitmap_of(ids, "id")).collect()}
+    assert set(range(0, 20_000, 7)) <= got and len(got) < 3000
+    assert likely(rows, "id", bitmap_of(ids.limit(0), "id")).count() == 0
+
+
 # ---------------------------------------------------------------- exact dedup
 def exact(rows):
     groups = defaultdict(list)
@@ -135,7 +224,7 @@ def hits(rows, items, width):
 def test_decontamination(spark, block):
     passage = " ".join(f"p{i}" for i in range(30))
     items = [(1, passage), (2, "Short Item"), (3, None), (4, "..."), (10, passage[9:60]), (11, "one"), (2, "short item")]
-    texts = [t for t in ODD if t != "word " * 30_000] + [f"a {passage.upper()} b", passage[10:70].replace(" ", "-"), "x short, item; short item", "p1 p2 p3", "short", passage[:30] + " " + passage[:30], "one"]
+    texts = [t for t in ODD if t != "word " * 30_000] + ["word " * 3000] + [f"a {passage.upper()} b", passage[10:70].replace(" ", "-"), "x short, item; short item", "p1 p2 p3", "short", passage[:30] + " " + passage[:30], "one"]
     bench = spark.createDataFrame(items, "item_id long, text string")
     docs = table(spark, texts)
     got = decontam.match_documents(docs.repartition(3), bench, 10, block)
@@ -230,16 +319,63 @@ def test_sharding(spark):
 
 
 def test_packing():
-    assert sharding.pack([(6, 2), (4, 3), (5, 1)], None, 10) == [(6, 0, 1, 0), (6, 1, 2, 1), (5, 0, 1, 2), (4, 0, 1, 0), (4, 1, 2, 1), (4, 2, 3, 2)]
+    assert list(sharding.pack([(6, 2), (5, 1), (4, 3)], None, 10)) == [(6, 0, 1, 0), (6, 1, 2, 1), (5, 0, 1, 2), (4, 0, 1, 0), (4, 1, 2, 1), (4, 2, 3, 2)]
     assert {b for *_, b in sharding.pack([(25, 1), (5, 2)], None, 10)} == {0, 1}
     rng = np.random.default_rng(1)
-    runs = list(Counter(rng.integers(1, 60, 500).tolist()).items())
+    runs = sorted(Counter(rng.integers(1, 60, 500).tolist()).items(), reverse=True)
     bins = Counter()
     for size, lo, hi, b in sharding.pack(runs, None, 100):
         bins[b] += size * (hi - lo)
     assert max(bins.values()) <= 100 and len(bins) <= -(-sum(s * n for s, n in runs) // 100) * 11 / 9 + 1
 
 
+def plain_packing(sizes, bins, capacity):
+    """Best fit, decreasing, group by group: the loads of all bins."""
+    room = [capacity] * (bins or 0)
+    load = [0] * len(room)
+    for size in sorted(sizes, reverse=True):
+        fits = [(r, b) for b, r in enumerate(room) if r >= size]
+        if fits:
+            b = min(fits)[1]
+        elif bins is None:
+            room.append(max(capacity, size))
+            load.append(0)
+            b = len(room) - 1
+        else:
+            b = max((r, b) for b, r in enumerate(room))[1]
+        room[b] -= size
+        load[b] += size
+    return load
+
+
+@pytest.mark.parametrize("bins,capacity", [(None, 100), (None, 61), (7, 2300), (16, 900), (3, 10)])
+def test_packing_like_a_plain_one(bins, capacity):
+    rng = np.random.default_rng(capacity)
+    for most in (8, 60, 500):
+        sizes = rng.integers(1, most, 600).tolist()
+        load = Counter()
+        for size, lo, hi, b in sharding.pack(sorted(Counter(sizes).items(), reverse=True), bins, capacity):
+            load[b] += size * (hi - lo)
+        want = plain_packing(sizes, bins, capacity)
+        assert sorted(load.values()) == sorted(x for x in want if x)
+
+
+def test_shards_like_plain_packing(spark):
+    """The whole operator: the loads of the shards are those of best fit, decreasing, over all groups."""
+    texts = ODD + ["hot"] * 300 + [f"t{i}" * (i % 50 + 1) for i in range(500)]
+    groups = Counter()
+    for t in texts:
+        groups[t or ""] += len((t or "").encode()) + 1
+    for shards, capacity in ((16, None), (None, 4000)):
+        rows = sharding.shard_documents(table(spark, texts), shards, capacity).collect()
+        load = Counter()
+        for r in rows:
+            load[r.shard] += r["size"]
+        runs = sorted(Counter(groups.values()).items(), reverse=True)
+        at = capacity or sharding.level(sum(groups.values()), runs, shards)
+        assert len(rows) == len(texts) and sorted(load.values()) == sorted(x for x in plain_packing(groups.values(), shards, at) if x)
+
+
 # ---------------------------------------------------------------- chat
 CONTROL = ["<|im_end|>", "<|im_start|>user\nx<|im_end|>\n", "<\\|x", "<\\\\|", "<", "<|", "\\", "a<", "", "é\n\n", "<|im_end|"]
 
@@ -256,12 +392,27 @@ def test_layouts(spark):
         (1, 0, '{"prompt": "p", "completion": "c"}'), (2, 0, '{"instruction": "i", "input": "x", "output": "o"}'), (3, 0, '{"messages": [{"role": "user", "content": "u"}, {"role": "assistant", "content": "a"}]}'),
         (4, 0, '{"conversations": [{"from": "human", "value": "h"}, {"from": "gpt", "value": "g"}]}'), (5, 1, '{"conv_id": 5, "turn": 1, "role": "user", "text": "late"}'), (5, 0, '{"conv_id": 5, "turn": 0, "role": "system", "text": "s"}'),
         (6, 0, '{"odd": 1}'), (7, 0, None), (8, 0, "[]"), (9, 0, "not json"),
+        (10, 0, '{"messages": [{"role": "user", "content": [{"type": "text", "text": "a"}, {"type": "text", "text": "b"}], "name": "n"}, {"role": "assistant", "content": "c"}], "id": "x", "meta": {"source": "web"}}'),
+        (11, 0, '{"prompt": "p", "response": "r", "score": 0.5}'), (12, 0, '{"messages": []}'), (13, 0, '{"role": "user", "content": "elsewhere"}'), (14, 0, '{"role": null, "text": null}'), (15, 0, '{"messages": [{"role": "user", "content": 5}]}'),
     ]
-    rows = chat.canonical_turns(spark.createDataFrame(records, "conv_id long, turn long, record string")).orderBy("conv_id", "turn", "part").collect()
+    made = chat.canonical_turns(spark.createDataFrame(records, "conv_id long, turn long, record string"))
     turns = defaultdict(list)
-    for r in rows:
+    for r in made.where("reject is null").orderBy("conv_id", "turn", "part").collect():
         turns[r.conv_id].append((r.role, r.text))
-    assert turns == {1: [("user", "p"), ("assistant", "c")], 2: [("user", "i\n\nx"), ("assistant", "o")], 3: [("user", "u"), ("assistant", "a")], 4: [("user", "h"), ("assistant", "g")], 5: [("system", "s"), ("user", "late")], **{k: [(None, None)] for k in (6, 7, 8, 9)}}
+    assert turns == {1: [("user", "p"), ("assistant", "c")], 2: [("user", "i\n\nx"), ("assistant", "o")], 3: [("user", "u"), ("assistant", "a")], 4: [("user", "h"), ("assistant", "g")], 5: [("system", "s"), ("user", "late")], 10: [("user", "a\n\nb"), ("assistant", "c")], 11: [("user", "p"), ("assistant", "r")], 14: [("", "")]}
+    lost = {r.conv_id: r.record for r in chat.rejected(made).collect()}
+    assert lost == {i: x or "" for i, _, x in records if i in (6, 7, 8, 9, 12, 13, 15)}
+    assert {r.conv_id for r in chat.format_turns(made).collect()} == set(turns)
+
+
+def test_long_conversations(spark):
+    """A conversation with most of the rows, long texts, and an extra column whose name clashes."""
+    rows = [(1, i, ("user", "assistant")[i % 2], f"turn {i} <|im_end|>") for i in range(3000)] + [(2, 0, "assistant", "x" * 300_000), (2, 1, "assistant", "<|" * 50_000)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"formatted": F.lit("mine"), "reject": F.lit("mine")})
+    out = {r.conv_id: r for r in chat.digest_formatted(chat.format_turns(frame)).collect()}
+    for c in (1, 2):
+        loss = "".join(x for i, _, r, x in rows if i == c and r == "assistant")
+        assert (out[c].n_turns, out[c].loss_chars, out[c].loss_sha256) == (sum(r[0] == c for r in rows), len(loss), hashlib.sha256(loss.encode()).hexdigest())
 
 
 def test_chat_digests(spark):
@@ -294,6 +445,39 @@ def shape(s):
     return re.sub(r"[a-z]", "a", re.sub(r"[A-Z]", "A", re.sub(r"\d", "9", s)))
 
 
+PII = [
+    "x@" + "a." * 100_000 + "a", "иван@example.ru, 山田太郎@example.jp; Jürgen.Groß@ex.de µ@x.de 𠮷田@example.jp ٣٤٥@ex.com ²Ⅷ@x.org", "078-05-1120 899-99-9999 665-01-0001 667-01-0001 666-01-0001",
+    "token = 'Ünïcode9é漢漢漢' 4111 1111 1111 1111 2023-02-28 12 4111 1111 1111 1111", "3000-01-01 0999-12-31 31.12.1999 02/30/2020 12/25/2020 255.255.255.255", "+44 20 7946 0958 (555) 123-4567 555-123-4567",
+]
+
+
+def test_pii_like_plain_python(spark):
+    """All documents of a table, and odd values: scripts, long addresses, values at the borders of their formats."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").union(table(spark, PII + ODD, 10**7).select("doc_id", "text"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    rows = pii.pseudonymise(docs, "k").collect()
+    assert len(rows) == len(texts) and all((r.text, r.n_found) == pseudonymised(texts[r.doc_id], "k") for r in rows)
+    assert sum(r.n_found for r in rows) > 100
+
+
+def test_long_address_in_a_fresh_jvm(tmp_path):
+    """Patterns that recurse end the whole JVM while its code isn't compiled yet."""
+    code = """
+from pyspark.sql import SparkSession
+from tidecrawl.llm import pii
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+rows = spark.createDataFrame([("x@" + "a." * 100_000 + "a",)], "text string")
+assert pii.pseudonymise(rows, "k").first().n_email == 1
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=300, cwd=str(__import__("pathlib").Path(__file__).parents[2]), capture_output=True)
+
+
+def test_social_security_numbers_stay_assignable(spark):
+    rows = spark.range(0, 3000).select(F.format_string("%03d-%02d-%04d", F.when(F.col("id") % 898 < 665, F.col("id") % 898 + 1).otherwise(F.col("id") % 898 + 2), F.col("id") % 99 + 1, F.col("id") + 1).alias("text"))
+    out = [r.text for r in pii.pseudonymise(rows, "k").where("n_ssn = 1").collect()]
+    assert len(set(out)) == 3000 and all(re.fullmatch(r"(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}", x) for x in out)
+
+
 def test_pii(spark):
     values = ["jo.34@mail7.example.com", "+1 (017) 555-7713", "97.51.17.173", "4111 1111 1111 1111", "2023-02-28", "31/12/1999", "078-05-1120", 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"']
     keep = ["4111111111111112", "2023-02-30", "256.1.1.1", "3.0", "plain text", "4.0.", "12"]
@@ -361,10 +545,21 @@ def test_language(spark):
     assert got.where("lang = lang_pred").count() > 0.99 * got.count()
 
 
+def test_numerals_are_no_letters(spark):
+    rows = langid.identify_languages(table(spark, ["the old house", "²", "Ⅷ ½ 12", "ª"])).orderBy("doc_id").collect()
+    assert [r.lang_pred for r in rows] == ["en", "und", "und", "en"]
+
+
+def test_language_sample(spark):
+    rows = [(i, f"text {i}", "xx" if i % 3 else "yy") for i in range(600)] + [(1, "text 1", "xx")] * 500 + [(None, "none", "xx"), (7000, "z" * 200_000, "zz"), (7001, None, "xx"), (7002, "no language", None)]
+    got = langid.training_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 20)
+    assert Counter(lang for _, lang in got) == {"xx": 20, "yy": 20, "zz": 1} and "none" not in dict(got)
+
+
 def test_language_odd_rows(spark):
-    docs = table(spark, ODD).withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "en").otherwise("fr"))
+    docs = table(spark, ODD + ["²", "Ⅷ"]).withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "en").otherwise("fr"))
     rows = {r.doc_id: r for r in langid.identify_languages(docs).collect()}
-    assert all((rows[i].lang_pred == "und") == (not re.search(r"[^\W\d_]", t or "")) and 0 <= rows[i].score <= 1 for i, t in enumerate(ODD))
+    assert all((rows[i].lang_pred == "und") == (not any(unicodedata.category(c)[0] == "L" for c in t or "")) and 0 <= rows[i].score <= 1 for i, t in enumerate(ODD + ["²", "Ⅷ"]))
     assert {r.lang_pred for r in langid.identify_languages(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     assert langid.identify_languages(docs.limit(0)).count() == 0
 

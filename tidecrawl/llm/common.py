@@ -1,4 +1,4 @@
-"""Helpers that several operators share: free column names, bitmaps, Arrow text access, hashed words, components."""
+"""Helpers that several operators share: Arrow text access, hashed words, components."""
 
 from __future__ import annotations
 
@@ -6,9 +6,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidecrawl.operators.bitmaps import bitmap_of, likely, unused  # noqa: F401
 from tidecrawl.operators.tables import dropped as unstage  # noqa: F401
 from tidecrawl.operators.tables import written as stage  # noqa: F401
 
@@ -18,17 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- columns
-def unused(columns: list[str], *names: str) -> list[str]:
-    """The names, each led by underscores until no column has it."""
-    taken, out = {c.lower() for c in columns}, []
-    for name in names:
-        while name.lower() in taken:
-            name = f"_{name}"
-        taken.add(name.lower())
-        out.append(name)
-    return out
-
-
 def without(docs: DataFrame, lost: DataFrame) -> DataFrame:
     """docs without the rows that agree with one of lost(doc_id, th) in doc_id and xxhash64 of the text.
 
@@ -40,33 +30,6 @@ def without(docs: DataFrame, lost: DataFrame) -> DataFrame:
     return docs.join(gone, same, "left_anti")
 
 
-# ---------------------------------------------------------------- bitmaps
-PLACES = 1 << 26  # bits of a bitmap: 8 MB, whatever it is made from
-
-
-def _place(column: Column) -> Column:
-    return F.pmod(F.xxhash64(column), F.lit(PLACES))
-
-
-def bitmap_of(ids: DataFrame, column: str) -> DataFrame:
-    """(bucket, bits): the places that a column's values hash to; PLACES bits at most."""
-    rows = ids.select(_place(F.col(column)).alias("p"))
-    return rows.groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
-
-
-def likely(rows: DataFrame, column: str, bitmap: DataFrame) -> DataFrame:
-    """rows without those whose value is surely not among the bitmap's. An exact join must follow.
-
-    What passes by chance grows with the share of places taken; when all are taken, all rows pass.
-    """
-    bucket, bits, at = unused(rows.columns, "bucket", "bits", "at")
-    known = F.broadcast(bitmap.select(F.col("bucket").alias(bucket), F.col("bits").alias(bits)))
-    place = _place(F.col(column))
-    met = rows.withColumns({bucket: F.bitmap_bucket_number(place), at: F.bitmap_bit_position(place)}).join(known, bucket)
-    byte = f"cast(conv(hex(substring(`{bits}`, cast(`{at}` div 8 as int) + 1, 1)), 16, 10) as int)"
-    return met.where(f"shiftright({byte}, cast(`{at}` % 8 as int)) % 2 = 1").select(rows.columns)
-
-
 # ---------------------------------------------------------------- text in Arrow batches
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a text column and its row offsets; null is empty."""

@@ -11,17 +11,23 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Fixed values of the page model: which elements have no content, whose text counts, which attributes list words.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("script style noscript template title svg".split())  # not part of a page's text
 UNREAD = frozenset("script style template".split())  # not part of an element's text
 MULTI = frozenset("class rel rev accept-charset headers accesskey dropzone".split())  # attributes that list words
 
-PAGE_DDL = (
-    "title string, text string, links array<string>, metadata struct<title:string,description:string,keywords:array<string>,canonical:string,language:string>, "
-    "images array<struct<src:string,alt:string>>, headings struct<h1:array<string>,h2:array<string>,h3:array<string>>, "
-    "tables array<struct<headers:array<string>,rows:array<array<string>>>>, lists array<struct<type:string,items:array<string>>>"
-)
-PAGE_FIELDS = ["title", "text", "links", "metadata", "images", "headings", "tables", "lists"]
+FIELD_TYPES = {
+    "title": "string",
+    "text": "string",
+    "links": "array<string>",
+    "metadata": "struct<title:string,description:string,keywords:array<string>,canonical:string,language:string>",
+    "images": "array<struct<src:string,alt:string>>",
+    "headings": "struct<h1:array<string>,h2:array<string>,h3:array<string>>",
+    "tables": "array<struct<headers:array<string>,rows:array<array<string>>>>",
+    "lists": "array<struct<type:string,items:array<string>>>",
+}
+PAGE_FIELDS = list(FIELD_TYPES)
 DEFAULT_SELECTORS = {"title": "title", "description": 'meta[name="description"]'}
 
 
@@ -100,15 +106,12 @@ class Builder(HTMLParser):
 
 
 def tree(html: str | None) -> Element:
-    """The document tree; never fails. A last tag that doesn't end is dropped."""
+    """The document tree; any text has one. A last tag that doesn't end is dropped."""
     builder = Builder()
     text = html or ""
     cut = re.search(r"<[A-Za-z/!][^<>]*\Z", text)
-    try:
-        builder.feed(text[: cut.start()] if cut else text)
-        builder.close()
-    except Exception:  # what was read so far stands
-        pass
+    builder.feed(text[: cut.start()] if cut else text)
+    builder.close()
     return builder.root
 
 
@@ -278,12 +281,26 @@ def lists(root: Element) -> list[dict]:
     return out
 
 
-def parse_page(html: str | None, url: str | None) -> dict:
-    """The canonical page record; missing parts are null or empty."""
-    root = tree(html)
-    base = base_url(root, url or "")
-    about = metadata(root)
-    return {"title": about["title"], "text": page_text(root), "links": links(root, base), "metadata": about, "images": images(root, base), "headings": headings(root), "tables": tables(root), "lists": lists(root)}
+PARTS = {
+    "title": lambda root, base: metadata(root)["title"],
+    "text": lambda root, base: page_text(root),
+    "links": links,
+    "metadata": lambda root, base: metadata(root),
+    "images": images,
+    "headings": lambda root, base: headings(root),
+    "tables": lambda root, base: tables(root),
+    "lists": lambda root, base: lists(root),
+}
+
+
+def page_of(root: Element, url: str, fields: list[str] = PAGE_FIELDS) -> dict:
+    """The wanted fields of the canonical page record; missing parts are null or empty."""
+    base = base_url(root, url) if {"links", "images"} & set(fields) else url
+    return {f: PARTS[f](root, base) for f in fields}
+
+
+def parse_page(html: str | None, url: str | None, fields: list[str] = PAGE_FIELDS) -> dict:
+    return page_of(tree(html), url or "", fields)
 
 
 def value_of(e: Element, attr: str | None) -> str | None:
@@ -318,24 +335,45 @@ def parse_selector(text: str) -> tuple[str, str]:
 
 
 # ---------------------------------------------------------------- columns
-def parse_html(html: Column | str, url: Column | str) -> Column:
-    """struct of PAGE_DDL from one parse of each page."""
-
-    @F.pandas_udf(PAGE_DDL)
+def parse_html(html: Column | str, url: Column | str, fields: list[str] = PAGE_FIELDS, parser=parse_page, selectors: dict | None = None) -> Column:
+    """struct of the wanted fields and parse_error, from one parse of each page.
+
+    parser(html, url, fields) gives a dictionary; one that raises leaves the fields of an empty page and its error in
+    parse_error. With selectors, a field data holds the selected parts of the same tree; parser is not asked then.
+    """
+    wanted = {f: FIELD_TYPES[f] for f in fields}
+    if selectors is not None:
+        wanted["data"] = _selected_type(selectors).simpleString()
+    ddl = ", ".join(f"`{f}` {t}" for f, t in wanted.items()) + ", parse_error string"
+
+    def one(h, u):
+        try:
+            if selectors is None:
+                return parser(h, u, fields) | {"parse_error": None}
+            root = tree(h)
+            return page_of(root, u or "", fields) | {"data": extract(root, selectors), "parse_error": None}
+        except Exception as e:  # of any parser
+            empty = page_of(tree(""), u or "", fields) | ({"data": extract(tree(""), selectors)} if selectors is not None else {})
+            return empty | {"parse_error": f"cannot parse page: {type(e).__name__}: {e}"}
+
+    @F.pandas_udf(ddl)
     def parsed(h: pd.Series, u: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([parse_page(a, b) for a, b in zip(h, u)], columns=PAGE_FIELDS)
+        return pd.DataFrame([one(a, b) for a, b in zip(h, u)], columns=[*wanted, "parse_error"])
 
     return parsed(html, url)
 
 
+def _selected_type(selectors: dict) -> T.StructType:
+    for spec in selectors.values():
+        selector(spec if isinstance(spec, str) else spec["selector"])
+    return T.StructType([T.StructField(k, T.ArrayType(T.StringType()) if not isinstance(v, str) and v.get("all") else T.StringType()) for k, v in selectors.items()])
+
+
 def extract_data(html: Column | str, selectors: dict | None = None) -> Column:
     """struct with a field for each named selector: string, or array of strings if the selector says all."""
     named = DEFAULT_SELECTORS if selectors is None else selectors
-    for spec in named.values():
-        selector(spec if isinstance(spec, str) else spec["selector"])
-    kind = T.StructType([T.StructField(k, T.ArrayType(T.StringType()) if not isinstance(v, str) and v.get("all") else T.StringType()) for k, v in named.items()])
 
-    @F.pandas_udf(kind)
+    @F.pandas_udf(_selected_type(named))
     def extracted(h: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([extract(tree(x), named) for x in h], columns=list(named))
 

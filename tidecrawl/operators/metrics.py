@@ -45,9 +45,66 @@ def rates(log: DataFrame) -> DataFrame:
     return log.groupingSets([["domain"], []], "domain").agg(F.grouping("domain").cast("int").alias("is_total"), F.count("*").alias("n"), actual_rate().alias("rate"))
 
 
-def violations(log: DataFrame, limit: float, tolerance: float = 0.1) -> DataFrame:
-    """Domains whose rate exceeds the limit by more than the tolerance."""
-    return rates(log).where("is_total = 0").where(F.col("rate") > limit * (1 + tolerance))
+def violations(log: DataFrame, limit: float | None, total_limit: float | None = None, tolerance: float = 0.1) -> DataFrame:
+    """rates() that exceed their limit, of a domain or of all, by more than the tolerance; None is no limit."""
+    over = F.when(F.col("is_total") == 1, F.lit(total_limit).cast("double")).otherwise(F.lit(limit).cast("double"))
+    return rates(log).withColumn("limit", over).where(F.col("rate") > F.col("limit") * (1 + tolerance))
+
+
+def violation_lines(found: DataFrame) -> DataFrame:
+    """violations() as text."""
+    return found.select("domain", F.format_string("%s: %.2f rps > limit %s", F.coalesce("domain", F.lit("global")), "rate", F.col("limit").cast("string")).alias("line"))
+
+
+def timers(log: DataFrame) -> DataFrame:
+    """(started, finished, elapsed) of log(at, ...); null, null and 0 without rows."""
+    return log.agg(F.min("at").alias("started"), F.max("at").alias("finished"), F.coalesce(F.max("at") - F.min("at"), F.lit(0)).alias("elapsed"))
+
+
+def crawl_stats(pages: DataFrame, log: DataFrame, blocked: DataFrame, attempts: DataFrame) -> DataFrame:
+    """One row that rolls up a crawl: pages by outcome, time, request rate, blocked URLs, attempts and retries.
+
+    pages(error), log(domain, at), blocked(url) and attempts(request, n, success) as the crawl left them.
+    """
+    done = pages.agg(F.count("*").alias("visited"), F.count_if(F.col("error").isNull()).alias("processed"), F.count_if(F.col("error").isNotNull()).alias("failed"))
+    rate = log.agg(F.coalesce(actual_rate(), F.lit(0.0)).alias("average_rps"), F.countDistinct("domain").alias("domains"))
+    parts = [done, timers(log), rate, blocked.agg(F.count("*").alias("blocked")), http_counters(attempts).select("attempts", "retries")]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.crossJoin(part)  # of one row each
+    return out.withColumn("pages_per_sec", throughput(F.col("processed") + F.col("failed"), F.col("elapsed")))
+
+
+def domain_report(log: DataFrame, delays: DataFrame) -> DataFrame:
+    """domain_stats() of each domain with its crawl delay from delays(host, delay); null where there is none."""
+    stats = domain_stats(log).where("is_total = 0").drop("is_total")
+    return stats.join(delays.select(F.col("host").alias("domain"), F.when(F.col("delay") > 0, F.col("delay")).alias("crawl_delay")), "domain", "left")
+
+
+def reports(states: DataFrame, interval: int) -> DataFrame:
+    """(elapsed, processed, failed, queued, in_progress, pages_per_sec) at every interval and at the end.
+
+    states(added, started, finished, failed) has the times of each URL, as integers from the start of the crawl on. A
+    report at time t counts what has happened up to t.
+    """
+    steps = F.array(
+        F.struct(F.col("added").alias("t"), F.lit(1).alias("q"), F.lit(0).alias("i"), F.lit(0).alias("p"), F.lit(0).alias("f")),
+        F.struct(F.col("started").alias("t"), F.lit(-1).alias("q"), F.lit(1).alias("i"), F.lit(0).alias("p"), F.lit(0).alias("f")),
+        F.struct(F.col("finished").alias("t"), F.lit(0).alias("q"), F.lit(-1).alias("i"), (~F.col("failed")).cast("int").alias("p"), F.col("failed").cast("int").alias("f")),
+    )
+    each = states.select(F.explode(steps).alias("s")).select("s.*").withColumn("k", F.ceil(F.col("t") / interval))
+    sums = each.groupBy("k").agg(F.max("t").alias("t"), *[F.sum(c).alias(c) for c in "qipf"])
+    every = sums.agg(F.max("k").alias("last"), F.max("t").alias("end")).select(F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), "last"))).alias("k"), "end")
+    run = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)  # a row for each report
+    rows = every.join(sums.withColumn("k", F.greatest("k", F.lit(1))).groupBy("k").agg(*[F.sum(c).alias(c) for c in "qipf"]), "k", "left")
+    rows = rows.select(F.least(F.col("k") * interval, "end").alias("elapsed"), *[F.coalesce(F.sum(c).over(run), F.lit(0)).alias(c) for c in "qipf"])
+    return rows.select("elapsed", F.col("p").alias("processed"), F.col("f").alias("failed"), F.col("q").alias("queued"), F.col("i").alias("in_progress"), throughput(F.col("p") + F.col("f"), F.col("elapsed")).alias("pages_per_sec"))
+
+
+def report_lines(reports: DataFrame) -> DataFrame:
+    """reports() as text."""
+    line = F.format_string("[%6.1fs] processed=%d queued=%d in_progress=%d errors=%d speed=%.2f pages/s", F.col("elapsed").cast("double"), "processed", "queued", "in_progress", "failed", "pages_per_sec")
+    return reports.select("elapsed", line.alias("line"))
 
 
 def current_rate(log: DataFrame, now: float, window: float = 10.0) -> DataFrame:

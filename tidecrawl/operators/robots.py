@@ -11,6 +11,8 @@ from tidecrawl.functions.urls import agent_token, host_of, origin_of, path_of
 
 LIMIT = 500 * 1024  # characters of a file that count
 LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+BLANK = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"  # around keys and values, in any script
+NUMBER = r"(?i)^[+-]?(?:(?:\d+(?:_\d+)*\.?(?:\d+(?:_\d+)*)?|\.\d+(?:_\d+)*)(?:e[+-]?\d+(?:_\d+)*)?|inf(?:inity)?)$"
 GROUP_KEYS = ("user-agent", "allow", "disallow", "crawl-delay")
 
 
@@ -20,7 +22,7 @@ def lines(files: DataFrame) -> DataFrame:
     bare = F.substring_index("raw", "#", 1)
     cut = F.instr(bare, ":")
     rows = rows.select("origin", "line", bare.alias("raw"), cut.alias("cut")).where("cut > 0")
-    return rows.select("origin", "line", F.lower(F.trim(F.expr("substring(raw, 1, cut - 1)"))).alias("key"), F.regexp_replace(F.expr("substring(raw, cut + 1)"), r"^\s+|\s+$", "").alias("value"))
+    return rows.select("origin", "line", F.lower(F.regexp_replace(F.expr("substring(raw, 1, cut - 1)"), BLANK, "")).alias("key"), F.regexp_replace(F.expr("substring(raw, cut + 1)"), BLANK, "").alias("value"))
 
 
 def grouped(files: DataFrame) -> DataFrame:
@@ -54,7 +56,7 @@ def agents_of(groups: DataFrame) -> DataFrame:
 
 def delays_of(groups: DataFrame) -> DataFrame:
     """(origin, group_no, delay): the last valid one of each group."""
-    number = F.col("value").try_cast("double")
+    number = F.when(F.col("value").rlike(NUMBER), F.replace("value", F.lit("_"), F.lit("")).try_cast("double"))
     rows = groups.where("key = 'crawl-delay'").select("origin", "group_no", "line", number.alias("delay")).where("delay >= 0 and not isnan(delay)")
     return rows.groupBy("origin", "group_no").agg(F.max_by("delay", "line").alias("delay"))
 
@@ -74,6 +76,24 @@ def each(agents: list[str]) -> Column:
     return F.explode(F.array(*(F.lit(a) for a in dict.fromkeys(agents))))
 
 
+def judged(urls: DataFrame, agents: list[str], policies: DataFrame, rules: DataFrame) -> DataFrame:
+    """(url, agent, allowed) from policies(origin, policy) and Robots.rules_for() of the agents."""
+    rows = urls.select("url").distinct().withColumn("origin", origin_of("url")).withColumn("path", path_of("url"))
+    pairs = rows.withColumn("agent", each(agents)).join(policies.select("origin", "policy"), "origin", "left")
+    hit = pairs.join(rules, ["origin", "agent"], "left")
+    plain = ~F.col("pattern").contains("*") & ~F.col("pattern").endswith("$")  # most rules need no regular expression
+    hit = hit.withColumn("hit", F.when(plain, F.col("path").startswith(F.col("pattern"))).otherwise(F.expr("path rlike pattern_regex")))
+    best = F.max_by(F.when(F.col("hit"), F.col("allow")), F.when(F.col("hit"), F.struct(F.length("pattern"), "allow")))
+    out = hit.groupBy("url", "agent", "path", "policy").agg(best.alias("best"))
+    allowed = F.when(F.col("policy") == "allow_all", True).when(F.col("policy") == "disallow_all", False).when(F.col("path") == "/robots.txt", True).otherwise(F.coalesce("best", F.lit(True)))
+    return out.select("url", "agent", allowed.alias("allowed"))
+
+
+def for_all(verdicts: DataFrame) -> DataFrame:
+    """(url, allowed): every agent may fetch it."""
+    return verdicts.groupBy("url").agg(F.bool_and("allowed").alias("allowed"))
+
+
 class Robots:
     """The robots files of some origins: files(origin, status, text). Origins without a file have no rules."""
 
@@ -90,30 +110,33 @@ class Robots:
         named = named.withColumn("own", (F.col("agent") == F.col("token")).cast("int")).withColumn("best", F.max("own").over(rank))
         return named.where("own = best").select("asked", "origin", "group_no").distinct()
 
+    def rules_for(self, agents: list[str]) -> DataFrame:
+        """(origin, agent, pattern, pattern_regex, allow): the rules that hold for each agent."""
+        effective = self.effective(agents).withColumnRenamed("asked", "agent")
+        return effective.join(self.rules, ["origin", "group_no"]).select("origin", "agent", "pattern", "pattern_regex", "allow")
+
     def verdicts(self, urls: DataFrame, agents: list[str]) -> DataFrame:
         """(url, agent, allowed): the longest matching pattern decides, Allow at equal length; none allows."""
-        rows = urls.select("url").distinct().withColumn("origin", origin_of("url")).withColumn("path", path_of("url"))
-        effective = self.effective(agents).withColumnRenamed("asked", "agent")
-        rules = effective.join(self.rules, ["origin", "group_no"]).select("origin", "agent", "pattern", "pattern_regex", "allow")
-        pairs = rows.withColumn("agent", each(agents)).join(self.policies.select("origin", "policy"), "origin", "left")
-        hit = pairs.join(rules, ["origin", "agent"], "left").withColumn("hit", F.expr("path rlike pattern_regex"))
-        best = F.max_by(F.when(F.col("hit"), F.col("allow")), F.when(F.col("hit"), F.struct(F.length("pattern"), "allow")))
-        out = hit.groupBy("url", "agent", "path", "policy").agg(best.alias("best"))
-        allowed = F.when(F.col("policy") == "allow_all", True).when(F.col("policy") == "disallow_all", False).when(F.col("path") == "/robots.txt", True).otherwise(F.coalesce("best", F.lit(True)))
-        return out.select("url", "agent", allowed.alias("allowed"))
+        return judged(urls, agents, self.policies, self.rules_for(agents))
 
     def allowed_for_all(self, urls: DataFrame, agents: list[str]) -> DataFrame:
         """(url, allowed): every agent may fetch it."""
-        return self.verdicts(urls, agents).groupBy("url").agg(F.bool_and("allowed").alias("allowed"))
+        return for_all(self.verdicts(urls, agents))
 
     def crawl_delays(self, agents: list[str]) -> DataFrame:
         """(origin, agent, delay) of every known origin; null if the agent's groups set none."""
         found = self.effective(agents).join(self.delays, ["origin", "group_no"]).groupBy("origin", F.col("asked").alias("agent")).agg(F.max("delay").alias("delay"))
         return self.files.select("origin").distinct().withColumn("agent", each(agents)).join(found, ["origin", "agent"], "left")
 
-    def host_delays(self, agents: list[str]) -> DataFrame:
-        """(host, delay): the largest over agents and origins of a host; 0 for none."""
+    def host_delays(self, agents: list[str], requests: DataFrame | None = None) -> DataFrame:
+        """(host, delay): the largest over agents, and over the origins of a host; 0 for none.
+
+        With requests(seq, url), that of the host's origin which was asked for last, as each origin sets it anew.
+        """
         rows = self.crawl_delays(agents).withColumn("host", host_of("origin"))
+        if requests is not None:
+            last = requests.groupBy(host_of("url").alias("host")).agg(F.max_by(origin_of("url"), "seq").alias("origin"))
+            rows = last.join(rows.drop("host"), "origin", "left")
         return rows.groupBy("host").agg(F.coalesce(F.max("delay"), F.lit(0.0)).alias("delay"))
 
     def crawl_delay(self, agent: str, requests: DataFrame) -> DataFrame:
@@ -121,6 +144,21 @@ class Robots:
         last = requests.select(F.max_by(origin_of("url"), "seq").alias("origin"))
         return last.join(self.crawl_delays([agent]), "origin", "left").select(F.coalesce("delay", F.lit(0.0)).alias("delay"))
 
+    def fetch_count(self) -> DataFrame:
+        """(fetched): how many files were asked for, one for each origin."""
+        return self.files.agg(F.countDistinct("origin").alias("fetched"))
+
+    def cached(self, urls: DataFrame) -> DataFrame:
+        """(url, cached): whether the file of the URL's origin is among these."""
+        known = self.files.select("origin").distinct().withColumn("cached", F.lit(True))
+        return urls.select("url").distinct().withColumn("origin", origin_of("url")).join(known, "origin", "left").select("url", F.coalesce("cached", F.lit(False)).alias("cached"))
+
+    def report(self, urls: DataFrame, agents: list[str]) -> DataFrame:
+        """(url, agent, status, policy, n_groups, n_sitemaps, verdict, delay) of each URL for each agent."""
+        records = self.as_records().select("origin", "status", "policy", F.coalesce(F.size("groups"), F.lit(0)).alias("n_groups"), F.coalesce(F.size("sitemaps"), F.lit(0)).alias("n_sitemaps"))
+        rows = self.verdicts(urls, agents).withColumn("origin", origin_of("url")).join(records, "origin").join(self.crawl_delays(agents), ["origin", "agent"], "left")
+        return rows.select("url", "agent", "status", "policy", "n_groups", "n_sitemaps", F.when(F.col("allowed"), "allowed").otherwise("BLOCKED").alias("verdict"), F.coalesce("delay", F.lit(0.0)).alias("delay"))
+
     def as_records(self) -> DataFrame:
         """One nested row for each origin: groups with agents, allow, disallow and crawl delay; sitemaps."""
         names = self.agents.groupBy("origin", "group_no").agg(F.sort_array(F.collect_set("agent")).alias("user_agents"))

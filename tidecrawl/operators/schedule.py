@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
+from collections import deque
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -65,26 +68,54 @@ def learned_delays(log: DataFrame, learned: DataFrame) -> DataFrame:
 
 
 def coupled_limits(log: DataFrame, host_interval: float, global_interval: float, burst: int = 1) -> DataFrame:
-    """(seq, domain, at, granted) of log(seq, domain, at) under a limit for each host and one for all.
+    """(seq, domain, at, granted) of log(seq, domain, at) under a token bucket for each host and one for all.
 
-    A request takes its host's token first, then the common one; the host is charged when the request leaves. The
-    limits feed back on each other, so one ordered pass over the whole log decides: rows stream through one task,
-    which holds a number for each host.
+    A bucket holds burst tokens and gains one each interval. A host's requests go one after the other: the first waits
+    for its host's token, then queues for a common one, in the order in which requests get that far, and is charged to
+    the host when it leaves. The limits feed back on each other, so one ordered pass over the whole log decides: rows
+    stream through one task, which holds two figures for each host and the requests that wait.
     """
+    if min(host_interval, global_interval) < 0 or burst < 1:
+        raise ValueError("intervals must not be negative, burst must be 1 or more")
 
     def run(batches):
-        hosts, common = {}, [float("-inf")] * burst
+        due = {}  # when a host's bucket will be full
+        waiting = {}  # requests of a host behind its first
+        queue = []  # (when it has its host's token, seq, domain, at) of each host's first request
+        common, free = [float("-inf")], {}
+
+        def enter(domain, at, seq):
+            begin = max(at, free.get(domain, at))  # the request before must have left
+            heapq.heappush(queue, (max(begin, due.get(domain, float("-inf")) - (burst - 1) * host_interval), seq, domain, at))
+
+        def leave():
+            ready, seq, domain, at = heapq.heappop(queue)
+            go = max(ready, common[0] - (burst - 1) * global_interval)
+            common[0] = max(common[0], go) + global_interval
+            due[domain] = max(due.get(domain, float("-inf")), go) + host_interval
+            free[domain] = go
+            if waiting[domain]:
+                enter(domain, *waiting[domain].popleft())
+            else:
+                del waiting[domain]
+            return seq, domain, at, go
+
+        def frame_of(out):
+            return pd.DataFrame(out, columns=["seq", "domain", "at", "granted"])
+
         for frame in batches:
             out = []
             for seq, domain, at in zip(frame["seq"], frame["domain"], frame["at"]):
-                slots = hosts.setdefault(domain, [float("-inf")] * burst)
-                go = max(at, slots[0] + host_interval * burst if burst > 1 else slots[-1] + host_interval)
-                go = max(go, common[0] + global_interval * burst if burst > 1 else common[-1] + global_interval)
-                for queue in (slots, common):
-                    queue.pop(0)
-                    queue.append(go)
-                out.append((seq, domain, at, go))
-            yield pd.DataFrame(out, columns=["seq", "domain", "at", "granted"])
+                while queue and queue[0][0] < at:  # what comes at the same time may still be ahead of it
+                    out.append(leave())
+                if domain in waiting:
+                    waiting[domain].append((at, seq))
+                else:
+                    waiting[domain] = deque()
+                    enter(domain, at, seq)
+            yield frame_of(out)
+        while queue:
+            yield frame_of([leave() for _ in range(min(len(queue), 10_000)) if queue])
 
     rows = log.select(F.col("seq").cast("long"), "domain", F.col("at").cast("double")).repartition(1).sortWithinPartitions("at", "seq")
     return rows.mapInPandas(run, "seq long, domain string, at double, granted double")

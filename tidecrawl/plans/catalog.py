@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidecrawl.functions import html, retry, urls
 from tidecrawl.operators import fetch, filters, frontier, metrics, robots, schedule
-from tidecrawl.operators.tables import shared_dir
+from tidecrawl.operators.tables import shared_dir, written
 from tidecrawl.sources import sinks
 from tidecrawl.sources.tables import pages, request_log, table
 from tidecrawl.streaming import streams
@@ -57,15 +57,15 @@ N_ITEMS = r"len(regexp_extract_all(html, '<li[ >]'))"
 N_H1 = r"len(regexp_extract_all(html, '<h1[ >]'))"
 
 
-def parsed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages(spark, sf_dir).withColumn("page", html.parse_html("html", "url"))
+def parsed_pages(spark: SparkSession, sf_dir: str, *fields: str) -> DataFrame:
+    return pages(spark, sf_dir).withColumn("page", html.parse_html("html", "url", list(fields)))
 
 
 # ---------------------------------------------------------------- URLs
 @query(f"""SELECT {HOST} AS host, count(*) AS n_pages, CAST(sum(len({HREFS})) AS BIGINT) AS n_links,
        round(avg(length({TEXT})), 6) AS avg_text, count(DISTINCT {TITLE}) AS n_titles FROM pages GROUP BY 1""")
 def host_summary(spark, sf_dir):
-    rows = parsed_pages(spark, sf_dir).select(urls.host_of("url").alias("host"), "page.title", F.size("page.links").alias("links"), F.length("page.text").alias("chars"))
+    rows = parsed_pages(spark, sf_dir, "title", "links", "text").select(urls.host_of("url").alias("host"), "page.title", F.size("page.links").alias("links"), F.length("page.text").alias("chars"))
     return rows.groupBy("host").agg(F.count("*").alias("n_pages"), F.sum("links").alias("n_links"), F.round(F.avg("chars"), 6).alias("avg_text"), F.countDistinct("title").alias("n_titles"))
 
 
@@ -83,53 +83,65 @@ def url_parts(spark, sf_dir):
     return pages(spark, sf_dir).select("page_id", urls.host_of("url").alias("host"), urls.origin_of("url").alias("origin"), urls.path_of("url").alias("path"), urls.is_web("url").alias("web"))
 
 
-AGENTS = ["MyBot/1.0 (+http://x)", "otherbot", "  ", "Spaced Name/2", "*"]
-
-
-@query("SELECT * FROM (VALUES ('MyBot/1.0 (+http://x)', 'mybot'), ('otherbot', 'otherbot'), ('  ', '*'), ('Spaced Name/2', 'spaced'), ('*', '*')) t(agent, token)")
+@query(f"SELECT page_id, CASE WHEN page_id % 4 = 0 THEN '*' ELSE {HOST} END AS token FROM pages")
 def agent_token(spark, sf_dir):
-    return spark.createDataFrame([(a,) for a in AGENTS], "agent string").select("agent", urls.agent_token("agent").alias("token"))
+    """Of agents named after hosts: blank, with a version and a comment, with further words, plain."""
+    host, kind = urls.host_of("url"), F.col("page_id") % 4
+    agent = F.when(kind == 0, " \t ").when(kind == 1, F.concat(F.upper(host), F.lit("/2.1 (+"), F.col("url"), F.lit(")"))).when(kind == 2, F.concat(F.lit("  "), host, F.lit(" crawler/3"))).otherwise(host)
+    return pages(spark, sf_dir).select("page_id", urls.agent_token(agent).alias("token"))
 
 
 # ---------------------------------------------------------------- extraction
 @query(rf"""SELECT page_id, {TITLE} AS title, nullif(regexp_extract(html, '<html lang="([^"]*)"', 1), '') AS language FROM pages""")
 def page_title_language(spark, sf_dir):
-    return parsed_pages(spark, sf_dir).select("page_id", "page.title", "page.metadata.language")
+    return parsed_pages(spark, sf_dir, "title", "metadata").select("page_id", "page.title", "page.metadata.language")
 
 
 @query(f"SELECT page_id, pos, l[pos + 1] AS link FROM (SELECT page_id, {HREFS.replace('list_distinct(', '(')} AS raw, list_filter(raw, lambda x, i: list_position(raw, x) = i) AS l, unnest(range(len(l))) AS pos FROM pages)")
 def page_links(spark, sf_dir):
-    return parsed_pages(spark, sf_dir).select("page_id", F.posexplode("page.links").alias("pos", "link")).select("page_id", F.col("pos").cast("long").alias("pos"), "link")
+    return parsed_pages(spark, sf_dir, "links").select("page_id", F.posexplode("page.links").alias("pos", "link")).select("page_id", F.col("pos").cast("long").alias("pos"), "link")
 
 
 @query(f"SELECT page_id, md5({TEXT}) AS text_md5, CAST(length({TEXT}) AS BIGINT) AS n_chars FROM pages")
 def page_text(spark, sf_dir):
-    return parsed_pages(spark, sf_dir).select("page_id", F.md5("page.text").alias("text_md5"), F.length("page.text").cast("long").alias("n_chars"))
+    return parsed_pages(spark, sf_dir, "text").select("page_id", F.md5("page.text").alias("text_md5"), F.length("page.text").cast("long").alias("n_chars"))
 
 
 @query(f"""SELECT url, CAST(length({TEXT}) AS BIGINT) AS n_chars, CAST(len({HREFS}) AS BIGINT) AS n_links, CAST(0 AS BIGINT) AS n_images,
        CAST({N_H1} AS BIGINT) AS n_headings, CAST(0 AS BIGINT) AS n_table_rows, CAST({N_ITEMS} AS BIGINT) AS n_list_items FROM pages""")
 def page_summary(spark, sf_dir):
-    return metrics.page_summary(parsed_pages(spark, sf_dir).select("url", "page.*"))
+    return metrics.page_summary(parsed_pages(spark, sf_dir, "text", "links", "images", "headings", "tables", "lists").select("url", "page.*"))
 
 
 @query(r"""SELECT page_id, string_agg(trim(regexp_replace(replace(replace(replace(replace(x, '&copy;', chr(169)), '&middot;', chr(183)), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')), '|' ORDER BY i) AS items
        FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<li[^>]*><a[^>]*>(.*?)</a></li>', 1)) AS x, generate_subscripts(regexp_extract_all(html, '(?s)<li[^>]*><a[^>]*>(.*?)</a></li>', 1), 1) AS i FROM pages) GROUP BY page_id""")
 def page_lists(spark, sf_dir):
-    rows = parsed_pages(spark, sf_dir).select("page_id", F.flatten(F.transform("page.lists", lambda x: x["items"])).alias("items"))
+    rows = parsed_pages(spark, sf_dir, "lists").select("page_id", F.flatten(F.transform("page.lists", lambda x: x["items"])).alias("items"))
     return rows.where(F.size("items") > 0).select("page_id", F.array_join("items", "|").alias("items"))
 
 
-SHOP = """<html lang="en-us"><head><title>A Book</title><meta name="Description" content=" d "><meta name="keywords" content="books, python , ,async"><link rel="canonical" href="/c"></head>
-<body><h1>A</h1><h2>B</h2><p class="price red">10.00</p><p class="star Three">x</p><img src="a.png" alt=""><img src=" "><table><tr><th>Name</th><th>Qty</th></tr><tr><td>apple</td><td>3</td></tr></table><ol><li>one</li><li>two</li></ol></body></html>"""
+def joined(*parts) -> F.Column:
+    return F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
 
 
-@query("""SELECT 'A Book' AS title, 'd' AS description, 'books|python|async' AS keywords, '/c' AS canonical, 'http://s.test/a.png' AS src, '' AS alt, 'Name|Qty' AS heads, 'apple|3' AS cells, 'ol' AS kind, '10.00' AS price, 'star Three' AS stars, 'one|two' AS items""")
+@query("""SELECT p_partkey, p_name || ' ' || p_partkey AS title, 'size ' || p_size AS description, p_brand || '|' || p_type AS keywords, '/part/' || p_partkey AS canonical, 'en-' || p_size AS language,
+       'http://store.test/pics/' || p_partkey || '.png' AS src, p_type AS alt, 'Brand|Size' AS heads, p_brand || '|' || p_size AS cells, 'ul' AS kind, p_type || '|' || p_name AS items,
+       p_brand AS h1, p_name AS h2, p_size || '.50' AS cost, 'cost now' AS cls, p_brand || '|' || p_size AS row_cells FROM part""")
 def extract_parts(spark, sf_dir):
-    one = spark.createDataFrame([(SHOP, "http://s.test/")], "html string, url string")
-    wanted = {"price": "p.price", "stars": {"selector": "p.star", "attr": "class"}, "items": {"selector": "ol > li", "all": True}}
-    rows = one.select(html.parse_html("html", "url").alias("p"), html.extract_data("html", wanted).alias("d"))
-    return rows.select("p.title", "p.metadata.description", F.array_join("p.metadata.keywords", "|").alias("keywords"), "p.metadata.canonical", F.col("p.images")[0]["src"].alias("src"), F.col("p.images")[0]["alt"].alias("alt"), F.array_join(F.col("p.tables")[0]["headers"], "|").alias("heads"), F.array_join(F.col("p.tables")[0]["rows"][0], "|").alias("cells"), F.col("p.lists")[0]["type"].alias("kind"), "d.price", "d.stars", F.array_join("d.items", "|").alias("items"))
+    """A page for each part; every kind of content and selected fields, from one parse."""
+    key, name, brand, kind, size = (F.col(f"p_{c}") for c in ("partkey", "name", "brand", "type", "size"))
+    page = joined(
+        '<html lang="en-', size, '"><head><title> ', name, "\n", key, '</title><meta name="Keywords" content="', brand, ", ,", kind, '"><meta NAME="description" content=" size ', size, ' "><link rel="canonical" href="/part/', key, '"></head>',
+        "<body><h1>", brand, "</h1><h2> </h2><h2>", name, '</h2><span class="cost now">', size, '.50</span><img src="pics/', key, '.png" alt=" ', kind, ' "><img src=" "><table><tr><th>Brand</th><th>Size</th></tr>',
+        "<tr><td>", brand, "</td><td>", size, "</td></tr></table><ul><li>", kind, "</li><li> </li><li>", name, "</li></ul></body></html>",
+    )
+    wanted = {"cost": "span.cost", "cls": {"selector": "body > span", "attr": "class"}, "row_cells": {"selector": "td", "all": True}}
+    rows = table(spark, sf_dir, "part").select("p_partkey", html.parse_html(page, F.lit("http://store.test/list"), selectors=wanted).alias("p"))
+    return rows.select(
+        "p_partkey", "p.title", "p.metadata.description", F.array_join("p.metadata.keywords", "|").alias("keywords"), "p.metadata.canonical", "p.metadata.language", F.col("p.images")[0]["src"].alias("src"), F.col("p.images")[0]["alt"].alias("alt"),
+        F.array_join(F.col("p.tables")[0]["headers"], "|").alias("heads"), F.array_join(F.col("p.tables")[0]["rows"][0], "|").alias("cells"), F.col("p.lists")[0]["type"].alias("kind"), F.array_join(F.col("p.lists")[0]["items"], "|").alias("items"),
+        F.col("p.headings.h1")[0].alias("h1"), F.col("p.headings.h2")[0].alias("h2"), "p.data.cost", "p.data.cls", F.array_join("p.data.row_cells", "|").alias("row_cells"),
+    )
 
 
 # ---------------------------------------------------------------- filters and fetching
@@ -155,10 +167,69 @@ def fetch_join(spark, sf_dir):
     return fetch.fetch(asked, p).select("page_id", "success", "status", F.length("body").cast("long").alias("n"))
 
 
-@query("SELECT * FROM (VALUES (0, false, 404, ''), (1, true, 200, 'b'), (2, false, -1, ''), (3, true, 200, 'b')) t(pos, success, status, body)")
+TWICE = f"""a AS (SELECT page_id * 2 AS pos, split_part(url, '#', 1) AS url FROM pages UNION ALL SELECT page_id * 2 + 1, split_part(url, '#', 1) || CASE WHEN page_id % 4 = 0 THEN 'gone' ELSE '' END FROM pages),
+       c AS (SELECT {KEY} AS k, arg_min(html, url) AS html FROM pages GROUP BY 1), b AS (SELECT pos, url, {KEY} AS k FROM a), d AS (SELECT * FROM b LEFT JOIN c USING (k))"""
+
+
+def asked_twice(spark, sf_dir) -> DataFrame:
+    """(pos, url): every address, and once more, where that of each fourth page leads nowhere."""
+    bare = F.substring_index("url", "#", 1)
+    return pages(spark, sf_dir).select(F.posexplode(F.array(bare, F.concat(bare, F.when(F.col("page_id") % 4 == 0, "gone").otherwise("")))).alias("k", "url"), "page_id").select((F.col("page_id") * 2 + F.col("k")).alias("pos"), "url")
+
+
+@query(f"WITH {TWICE} SELECT pos, html IS NOT NULL AS success, CASE WHEN html IS NULL THEN 404 ELSE 200 END AS status, CASE WHEN html IS NULL THEN 'FetchError: HTTP 404' END AS error, CAST(length(coalesce(html, '')) AS BIGINT) AS n FROM d")
 def fetch_many(spark, sf_dir):
-    corpus = spark.createDataFrame([("http://a.test/b", "b")], "url string, html string")
-    return fetch.fetch_many(spark, ["http://a.test/x", "HTTP://A.test/b#f", "http://a.test:port/", "http://a.test/b"], corpus).select("pos", "success", F.coalesce("status", F.lit(-1)).alias("status"), "body")
+    return fetch.fetch_many(spark, asked_twice(spark, sf_dir), pages(spark, sf_dir)).select("pos", "success", "status", "error", F.length("body").cast("long").alias("n"))
+
+
+@query(f"WITH {TWICE} SELECT url, CAST(length(coalesce(arg_max(html, pos), '')) AS BIGINT) AS n FROM d GROUP BY url")
+def page_bodies(spark, sf_dir):
+    return fetch.bodies(fetch.fetch_many(spark, asked_twice(spark, sf_dir), pages(spark, sf_dir))).select("url", F.length("body").cast("long").alias("n"))
+
+
+@query(f"WITH {TWICE} SELECT count(*) FILTER (html IS NULL) AS failed FROM d")
+def failed_pages(spark, sf_dir):
+    return metrics.failed_count(fetch.fetch(asked_twice(spark, sf_dir), pages(spark, sf_dir)))
+
+
+SERVED = f"""s AS (SELECT page_id AS pos, split_part(url, '#', 1) AS bare, page_id % 6 = 2 AS refused, page_id % 6 = 3 AS picture, CAST(len({HREFS}) AS BIGINT) AS n, {TITLE} AS t FROM pages)"""
+
+
+def served(spark, sf_dir) -> DataFrame:
+    """A sixth of the pages answers 403, another sixth is a picture, a third names its type in upper case."""
+    kind = F.col("page_id") % 6
+    headers = F.when(kind == 3, F.create_map(F.lit("CONTENT-type"), F.lit("image/png"))).when(kind == 4, F.create_map(F.lit("Content-Type"), F.lit("Text/HTML; charset=utf-8"))).otherwise(F.create_map(F.lit("content-type"), F.lit("")))
+    return pages(spark, sf_dir).select(F.col("page_id").alias("pos"), F.substring_index("url", "#", 1).alias("url"), "html", F.when(kind == 2, 403).otherwise(200).alias("status"), headers.alias("headers"))
+
+
+@query(f"WITH {SERVED} SELECT pos, NOT refused AS success, CASE WHEN refused THEN 403 ELSE 200 END AS status, CASE WHEN refused OR picture THEN 0 ELSE n END AS n_links, CASE WHEN NOT refused AND NOT picture THEN t END AS title FROM s")
+def fetch_and_parse(spark, sf_dir):
+    corpus = served(spark, sf_dir)
+    rows = fetch.fetch_and_parse(corpus.select("pos", "url"), corpus, ["title", "links"])
+    return rows.select("pos", "success", "status", F.size("links").cast("long").alias("n_links"), "title")
+
+
+@query(f"WITH {SERVED} SELECT pos, NOT picture AS is_html FROM s")
+def html_types(spark, sf_dir):
+    return served(spark, sf_dir).select("pos", html.is_html("headers").alias("is_html"))
+
+
+def picky_parser(text, url, fields):
+    if "/en/" in url:
+        raise LookupError("no English")
+    return html.parse_page(text, url, fields)
+
+
+@query(f"WITH {SERVED} SELECT pos, CASE WHEN refused THEN 403 ELSE 200 END AS status, CASE WHEN refused THEN 'FetchError: HTTP 403' WHEN bare LIKE '%/en/%' THEN 'ParseError: cannot parse page: LookupError: no English' END AS error FROM s")
+def parse_errors(spark, sf_dir):
+    """A parser of one's own, that fails on some pages."""
+    corpus = served(spark, sf_dir)
+    return fetch.fetch_and_parse(corpus.select("pos", "url"), corpus, ["title"], picky_parser).select("pos", "status", "error")
+
+
+@query(f"SELECT split_part(url, '#', 1) AS url, greatest(0, (SELECT count(*) FROM pages) - 10) AS n_more FROM pages ORDER BY 1 LIMIT 10")
+def first_urls(spark, sf_dir):
+    return sinks.listing(pages(spark, sf_dir).select(F.substring_index("url", "#", 1).alias("url")), "url", 10)
 
 
 @query(f"SELECT host, arg_min(page_id, page_id) AS page_id, arg_min(url, page_id) AS url FROM (SELECT {HOST} AS host, page_id, url FROM pages) GROUP BY host")
@@ -172,18 +243,21 @@ def duplicate_keys(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- crawls
-def rewired(spark, sf_dir) -> DataFrame:
-    p = pages(spark, sf_dir).select("page_id", F.regexp_replace("url", "#.*", "").alias("url"))
+def rewired(spark, sf_dir, numbered: bool = False) -> DataFrame:
+    """With numbered, addresses carry the page's number, so that no two pages share one."""
+    bare = F.regexp_replace("url", "#.*", "")
+    p = pages(spark, sf_dir).select("page_id", (F.concat(bare, F.when(bare.contains("?"), "&n=").otherwise("?n="), F.col("page_id").cast("string")) if numbered else bare).alias("url"))
     n = p.count()
     edges = p.select(F.col("page_id").alias("src"), F.explode(F.array(*[F.lit(k) for k in (1, 2, 3)])).alias("k")).withColumn("dst", (F.col("src") * 7 + F.col("k")) % n)
     anchors = edges.join(p.select(F.col("page_id").alias("dst"), "url"), "dst").groupBy("src").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "url"))), lambda x: F.concat(F.lit('<a href="'), x["url"], F.lit('">l</a>'))), " ").alias("html"))
-    return p.join(anchors, p["page_id"] == anchors["src"]).select("page_id", "url", "html", F.when(F.col("page_id") % 11 == 5, 500).otherwise(200).alias("status"))
+    site = p.join(anchors, p["page_id"] == anchors["src"]).select("page_id", "url", "html", F.when(F.col("page_id") % 11 == 5, 500).otherwise(200).alias("status"))
+    return written(site, "site")
 
 
 def rewired_crawl(spark, sf_dir, **limits) -> frontier.Crawl:
     site = rewired(spark, sf_dir)
     seed = site.where("page_id = 1").first().url
-    return frontier.crawl(spark, site, [seed, seed], frontier.Limits(same_domain_only=False, **limits))
+    return frontier.crawl(spark, site, [seed, seed], frontier.Limits(same_domain_only=False, **limits), fields=["links"])
 
 
 def BFS(depth: int) -> str:
@@ -211,6 +285,21 @@ def depth_histogram(spark, sf_dir):
     return metrics.pages_by_depth(rewired_crawl(spark, sf_dir, max_depth=4, max_pages=100_000).pages)
 
 
+def spread_seeds(site: DataFrame) -> DataFrame:
+    """Every fiftieth page."""
+    return site.where("page_id % 50 = 0").select((F.col("page_id") / 50).cast("int").alias("pos"), "url")
+
+
+@query("""WITH RECURSIVE r AS (SELECT page_id AS id, 0 AS depth FROM pages WHERE page_id % 50 = 0
+       UNION SELECT (id * 7 + k) % n, depth + 1 FROM r, (SELECT unnest([1, 2, 3]) AS k), (SELECT count(*) AS n FROM pages) WHERE id % 11 <> 5 AND depth < 12), m AS (SELECT id, min(depth) AS depth FROM r GROUP BY id)
+       SELECT regexp_replace(url, '#.*', '') || CASE WHEN contains(regexp_replace(url, '#.*', ''), '?') THEN '&n=' ELSE '?n=' END || id AS url, depth, id % 11 <> 5 AS success FROM m JOIN pages ON page_id = id""")
+def crawl_wide(spark, sf_dir):
+    """From many seeds until nothing is left to visit."""
+    site = rewired(spark, sf_dir, numbered=True)
+    found = frontier.crawl(spark, site, spread_seeds(site), frontier.Limits(max_depth=12, max_pages=1 << 40, same_domain_only=False), fields=["links"])
+    return found.pages.select("url", "depth", "success")
+
+
 @query(BFS(3) + """, o AS (SELECT 2 + 3 * (SELECT count(*) FROM r WHERE depth < 3 AND id % 11 <> 5) AS offers)
        SELECT (SELECT count(*) FROM r) AS added, offers - (SELECT count(*) FROM r) AS duplicates, (SELECT count(*) FROM r) AS visited, (SELECT count(*) FROM r WHERE id % 11 <> 5) AS processed,
        (SELECT count(*) FROM r WHERE id % 11 = 5) AS failed, CAST(0 AS BIGINT) AS queued, CAST(0 AS BIGINT) AS in_progress FROM o""")
@@ -224,7 +313,7 @@ def progress_snapshot(spark, sf_dir):
     return metrics.progress(rewired_crawl(spark, sf_dir, max_depth=3, max_pages=100_000).pages, 0, 0, 10.0)
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS src, (l_suppkey * 3 + l_linenumber) % 100 AS dst FROM lineitem WHERE l_suppkey < 100),
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS src, (l_suppkey * 3 + l_linenumber) % (SELECT greatest(100, max(l_suppkey) + 1) FROM lineitem) AS dst FROM lineitem),
        r AS (SELECT 1::BIGINT AS node, 0 AS depth UNION SELECT dst, depth + 1 FROM r JOIN e ON node = src WHERE depth < 4) SELECT node, min(depth) AS depth FROM r GROUP BY node""")
 def link_depths(spark, sf_dir):
     """Over all of lineitem; targets modulo the suppliers (their greatest number + 1), 100 at least."""
@@ -247,21 +336,20 @@ def domain_cap_topk(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- robots
-RULES = """# rules
-User-agent: *
-Disallow: /en/1*
+RULES = """# invented for these queries
+User-Agent:\t*
+\tDisallow : /en/1*
 Allow: /en/12
-Disallow: /fr/*page=
+Disallow: /fr/*page=   # any page
 Disallow: /*.html$
-Crawl-delay: 1.5
+Crawl-Delay: 1.5
 
 User-agent: MyBot
-User-agent: Other
-Disallow: /en/
+User-agent: Wanderer/0.3
+Disallow:\t/en/
 Disallow:
-Crawl-delay: 3
-Crawl-delay: soon
-Sitemap: http://x.test/s.xml
+crawl-delay:\t3
+Crawl-delay: 3d
 """
 ALLOWED = rf"""CASE WHEN {HOST} LIKE 'blog.%' THEN true WHEN {HOST} LIKE 'm.%' THEN false
   WHEN agent = 'MyBot/1.0' THEN NOT regexp_matches({PATH}, '^/en/')
@@ -295,10 +383,106 @@ def robots_delay(spark, sf_dir):
     return rules.host_delays(["*", "MyBot/1.0"])
 
 
-@query("SELECT * FROM (VALUES (1, 'false /en/1*'), (1, 'true /en/12'), (1, 'false /fr/*page='), (1, 'false /*.html$'), (2, 'false /en/')) t(group_no, rule)")
+@query("""SELECT page_id, unnest([1, 2]) AS group_no, unnest(['*', 'fetcher|two']) AS agents, unnest(['/c' || page_id || ':x', '']) AS allow, unnest(['/a' || page_id || '|/b*$', '']) AS disallow,
+       unnest([CASE page_id % 5 WHEN 0 THEN 2.5 WHEN 2 THEN 10.0 WHEN 4 THEN 7.0 END, NULL])::DOUBLE AS delay, unnest(['http://m' || page_id || '.test/map', 'http://m' || page_id || '.test/map']) AS sitemaps FROM pages""")
 def robots_parse(spark, sf_dir):
-    files = spark.createDataFrame([("http://x.test", 200, RULES)], "origin string, status int, text string")
-    return robots.Robots(files).rules.select(F.col("group_no").cast("int").alias("group_no"), F.concat_ws(" ", F.col("allow").cast("string"), "pattern").alias("rule"))
+    """A file for each page: tabs and wide blanks around keys and values, comments, delays that are none, odd line ends."""
+    key = F.col("page_id")
+    delay = F.element_at(F.array(*map(F.lit, ("2.5", "3d", "\u20031e1 ", "-1", "7\nCrawl-delay: 1,5"))), (key % 5 + 1).cast("int"))
+    text = joined("Disallow: /lost\r\n# page ", key, "\r\n\tUSER-agent :  * \n\tDisallow\t: /a", key, "  # note\x0cDisallow :/b*$\r\u00a0Allow:\u3000/c", key, ":x\nno rule\n: empty\nCrawl-delay: ", delay, "\nSitemap:\thttp://m", key, ".test/map\nUser-agent: Two words\nUser-agent: Fetcher/9 (x)\ndisallow:\n")
+    files = pages(spark, sf_dir).select(joined("http://h", key, ".test").alias("origin"), F.lit(200).alias("status"), text.alias("text"))
+    rows = robots.Robots(files).as_records().select(F.regexp_extract("origin", r"(\d+)", 1).cast("long").alias("page_id"), F.explode("groups").alias("g"), F.array_join("sitemaps", "|").alias("sitemaps"))
+    return rows.select("page_id", F.col("g.group_no").cast("int").alias("group_no"), F.array_join("g.user_agents", "|").alias("agents"), F.array_join("g.allow", "|").alias("allow"), F.array_join("g.disallow", "|").alias("disallow"), F.col("g.crawl_delay").alias("delay"), "sitemaps")
+
+
+@query(f"WITH o AS (SELECT DISTINCT {ORIGIN} AS origin FROM pages WHERE page_id % 2 = 0) SELECT DISTINCT url, {ORIGIN} IN (SELECT origin FROM o) AS cached FROM pages")
+def robots_cached(spark, sf_dir):
+    """Files of the origins of even pages are there."""
+    p = pages(spark, sf_dir)
+    files = p.where("page_id % 2 = 0").select(urls.origin_of("url").alias("origin")).distinct().select("origin", F.lit(200).alias("status"), F.lit(RULES).alias("text"))
+    return robots.Robots(files).cached(p)
+
+
+@query(f"SELECT count(DISTINCT {ORIGIN}) AS fetched FROM pages")
+def robots_fetched(spark, sf_dir):
+    p = pages(spark, sf_dir)
+    corpus = p.select(F.concat(urls.origin_of("url"), F.lit("/robots.txt")).alias("url"), F.lit(200).alias("status"), F.lit(RULES).alias("text")).distinct()
+    return robots.Robots(robots.robots_files(p, corpus)).fetch_count()
+
+
+@query(f"""SELECT DISTINCT url, agent, CASE WHEN {HOST} LIKE 'blog.%' THEN 404 WHEN {HOST} LIKE 'm.%' THEN 503 ELSE 200 END AS status, CASE WHEN {HOST} LIKE 'blog.%' THEN 'allow_all' WHEN {HOST} LIKE 'm.%' THEN 'disallow_all' ELSE 'rules' END AS policy,
+       CASE WHEN {HOST} LIKE 'blog.%' OR {HOST} LIKE 'm.%' THEN 0 ELSE 2 END AS n_groups, 0 AS n_sitemaps, CASE WHEN {ALLOWED} THEN 'allowed' ELSE 'BLOCKED' END AS verdict,
+       (CASE WHEN {HOST} LIKE 'blog.%' OR {HOST} LIKE 'm.%' THEN 0 WHEN agent = '*' THEN 1.5 ELSE 3 END)::DOUBLE AS delay FROM pages, (VALUES ('*'), ('MyBot/1.0')) a(agent)""")
+def robots_report(spark, sf_dir):
+    p, rules = robots_of_pages(spark, sf_dir)
+    return rules.report(p, ["*", "MyBot/1.0"])
+
+
+@query(f"SELECT (CASE WHEN {HOST} LIKE 'blog.%' OR {HOST} LIKE 'm.%' THEN 0 ELSE 3 END)::DOUBLE AS delay FROM pages ORDER BY page_id DESC LIMIT 1")
+def robots_last_delay(spark, sf_dir):
+    """For the origin that was asked for last."""
+    p, rules = robots_of_pages(spark, sf_dir)
+    return rules.crawl_delay("wanderer", p.select(F.col("page_id").alias("seq"), "url"))
+
+
+# ---------------------------------------------------------------- polite crawls
+BOTS = ["*", "MyBot/1.0"]
+#: Replies by the page's number modulo 11, the outcome of their retries, and the waits between attempts.
+SCRIPTS = {3: [404], 5: [503], 7: [500, 429, 200]}
+OUTCOME = "CASE id % 11 WHEN 3 THEN 404 WHEN 5 THEN 503 ELSE 200 END"
+TRIES = "CASE id % 11 WHEN 5 THEN 4 WHEN 7 THEN 3 ELSE 1 END"
+
+
+def POLITE(depth: int) -> str:
+    """Levels of a crawl that asks robots files: links to known origins are tested when offered, others when fetched."""
+    out = [f"u AS MATERIALIZED (SELECT id, url, {ORIGIN} AS origin, {HOST} AS host, bool_and({ALLOWED}) AS ok FROM (SELECT page_id AS id, regexp_replace(url, '#.*', '') AS url FROM pages), (VALUES ('*'), ('MyBot/1.0')) a(agent) GROUP BY 1, 2, 3, 4)"]
+    out.append("n AS (SELECT count(*) AS n FROM pages), q AS (SELECT id, url, origin, ok, [CAST(id // 50 AS INT)] AS ord FROM u WHERE id % 50 = 0)")
+    out.append("l0 AS MATERIALIZED (SELECT id, origin, ok, ord, 0 AS depth FROM q WHERE ok)")
+    for d in range(1, depth + 1):
+        known = " UNION ALL ".join(["SELECT origin FROM q", *(f"SELECT origin FROM l{j}" for j in range(d))])
+        seen = " UNION ALL ".join(f"SELECT id FROM l{j}" for j in range(d))
+        out.append(f"o{d} AS MATERIALIZED (SELECT u.id, u.origin, u.ok, list_append(x.ord, CAST(k - 1 AS INT)) AS ord, u.ok OR u.origin NOT IN ({known}) AS taken FROM l{d - 1} x, (SELECT unnest([1, 2, 3]) AS k), n, u WHERE x.ok AND x.id % 11 NOT IN (3, 5) AND u.id = (x.id * 7 + k) % n)")
+        out.append(f"l{d} AS MATERIALIZED (SELECT id, origin, ok, min(ord) AS ord, {d} AS depth FROM o{d} WHERE taken AND id NOT IN ({seen}) GROUP BY 1, 2, 3)")
+    rows = " UNION ALL ".join(f"SELECT id, ok, ord, depth FROM l{d}" for d in range(depth + 1))
+    stopped = " UNION ALL ".join(["SELECT id FROM q WHERE NOT ok", *(f"SELECT id FROM o{d} WHERE NOT taken" for d in range(1, depth + 1)), *(f"SELECT id FROM l{d} WHERE NOT ok" for d in range(depth + 1))])
+    return "WITH " + ", ".join(out) + f", r AS ({rows}), b AS (SELECT DISTINCT id FROM ({stopped})), g AS (SELECT id, url, host, ok, ord, depth, CASE WHEN r.ok THEN {TRIES} ELSE 0 END AS tries, CASE WHEN r.ok THEN {OUTCOME} END AS status FROM r JOIN u USING (id, ok))"
+
+
+def polite(spark, sf_dir, **options) -> frontier.Crawl:
+    site = rewired(spark, sf_dir).drop("status")
+    _, rules = robots_of_pages(spark, sf_dir)
+    files = rules.files.select(F.concat("origin", F.lit("/robots.txt")).alias("url"), "status", "text")
+    script = F.create_map(*[x for k, v in SCRIPTS.items() for x in (F.lit(k), F.array(*[F.struct(F.lit(c).alias("status"), F.lit(None).cast("string").alias("raised"), F.lit(None).cast("double").alias("retry_after")) for c in v]))])
+    replies = site.select(urls.normalize_url("url").alias("url_key"), F.try_element_at(script, (F.col("page_id") % 11).cast("int")).alias("replies")).where("replies is not null")
+    limits = frontier.Limits(max_depth=3, max_pages=1 << 40, same_domain_only=False)
+    return frontier.crawl(spark, site, spread_seeds(site), limits, files, tuple(BOTS), fields=["links"], replies=replies, policy=retry.Policy(backoff_jitter=0.0), **options)
+
+
+@query(POLITE(3) + " SELECT url, depth, status, status = 200 IS TRUE AS success, tries AS attempts FROM g")
+def polite_crawl(spark, sf_dir):
+    """Robots files, retries and failures in one crawl."""
+    return polite(spark, sf_dir).pages.select("url", "depth", "status", "success", "attempts")
+
+
+@query(POLITE(3) + " SELECT url, 'RobotsDisallowedError: disallowed by robots.txt: ' || url AS error FROM b JOIN u USING (id)")
+def crawl_blocked(spark, sf_dir):
+    return polite(spark, sf_dir).blocked.select("url", "error")
+
+
+LATER = """, w AS (SELECT *, unnest(generate_series(1, tries)) AS attempt FROM g WHERE tries > 0),
+       p AS (SELECT *, row_number() OVER (ORDER BY depth, ord, attempt) - 1 AS seq, greatest(1.0, CASE WHEN host LIKE 'blog.%' THEN 0.0 ELSE 3.0 END, CASE WHEN attempt < tries THEN 0.5 * pow(2, attempt - 1) ELSE 0.0 END)::DOUBLE AS gap FROM w)"""
+
+
+@query(POLITE(3) + LATER + " SELECT seq, host AS domain, url, CAST(attempt AS INT) AS attempt, ['*', 'MyBot/1.0'][seq % 2 + 1] AS agent, coalesce(sum(gap) OVER (PARTITION BY host ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS granted FROM p")
+def crawl_requests(spark, sf_dir):
+    """When each attempt leaves, with crawl delays, backoff and agents in turn."""
+    return frontier.request_log(polite(spark, sf_dir), BOTS, 1.0).select("seq", "domain", "url", "attempt", "agent", "granted")
+
+
+@query(POLITE(3) + " SELECT CAST(sum(tries) AS BIGINT) AS attempts, CAST(sum(tries - 1) AS BIGINT) AS retries, count(*) FILTER (status = 200) AS succeeded, count(*) FILTER (status <> 200) AS failed FROM g WHERE tries > 0")
+def crawl_retries(spark, sf_dir):
+    rows = polite(spark, sf_dir).pages.where("attempts > 0")
+    return metrics.http_counters(rows.select(F.col("url").alias("request"), F.explode(F.sequence(F.lit(1), "attempts")).alias("n"), "success"))
 
 
 # ---------------------------------------------------------------- schedules
@@ -346,9 +530,80 @@ def rate_by_domain(spark, sf_dir):
     return metrics.rates(request_log(spark, sf_dir)).withColumn("rate", F.round("rate", 12))
 
 
-@query(f"WITH {LOG} SELECT * FROM ({RATES}) WHERE is_total = 0 AND rate > 0.00002 * 1.1")
+@query(f"WITH {LOG} SELECT *, CASE is_total WHEN 1 THEN 0.001 ELSE 0.00002 END::DOUBLE AS \"limit\" FROM ({RATES}) WHERE rate > CASE is_total WHEN 1 THEN 0.001 ELSE 0.00002 END * 1.1")
 def rate_violations(spark, sf_dir):
-    return metrics.violations(request_log(spark, sf_dir), 0.00002).withColumn("rate", F.round("rate", 12))
+    return metrics.violations(request_log(spark, sf_dir), 0.00002, 0.001).withColumn("rate", F.round("rate", 12))
+
+
+@query(f"WITH {LOG} SELECT domain, coalesce(domain, 'global') || ': ' || printf('%.2f', rate) || ' rps > limit 1.0E-9' AS line FROM ({RATES}) WHERE rate > 1e-9")
+def violation_lines(spark, sf_dir):
+    return metrics.violation_lines(metrics.violations(request_log(spark, sf_dir), 1e-9, 1e-9))
+
+
+@query(f"WITH {LOG} SELECT min(tm) AS started, max(tm) AS finished, max(tm) - min(tm) AS elapsed FROM log")
+def crawl_timers(spark, sf_dir):
+    return metrics.timers(request_log(spark, sf_dir))
+
+
+@query(f"WITH {LOG}, d AS (SELECT DISTINCT domain, CAST(domain AS INT) % 3 AS delay FROM log) SELECT domain, count(*) AS requests, round(avg(seq % 7), 9) AS avg_wait, round((max(tm) - min(tm)) / nullif(count(*) - 1, 0)::DOUBLE, 6) AS avg_interval, nullif(max(delay), 0)::DOUBLE AS crawl_delay FROM log JOIN d USING (domain) GROUP BY domain")
+def domain_report(spark, sf_dir):
+    """Figures of each domain beside the crawl delay of its host."""
+    log = request_log(spark, sf_dir).withColumn("waited", F.col("seq") % 7)
+    delays = log.select(F.col("domain").alias("host"), (F.col("domain").cast("int") % 3).cast("double").alias("delay")).distinct()
+    return metrics.domain_report(log, delays).withColumn("avg_wait", F.round("avg_wait", 9)).withColumn("avg_interval", F.round("avg_interval", 6))
+
+
+@query(f"WITH {LOG} SELECT domain, coalesce(domain, 'total') || ': ' || count(*) || ' requests, wait ' || printf('%.2f', avg(seq % 8)) || ' s, interval ' || coalesce(printf('%.2f', (max(tm) - min(tm)) / nullif(count(*) - 1, 0)::DOUBLE), '-') || ' s' AS line FROM log GROUP BY GROUPING SETS ((domain), ())")
+def summary_lines(spark, sf_dir):
+    return metrics.summary_line(metrics.domain_stats(request_log(spark, sf_dir).withColumn("waited", F.col("seq") % 8)))
+
+
+@query(f"WITH {LOG} SELECT domain, sum(held) / nullif(max(held), 0) AS speed_up FROM log GROUP BY domain")
+def speed_up(spark, sf_dir):
+    """One request after the other against all at once."""
+    held = request_log(spark, sf_dir).groupBy("domain").agg(F.sum("held").alias("s"), F.max("held").alias("m"))
+    return held.select("domain", F.when(F.col("m") > 0, metrics.speed_up(F.col("s"), F.col("m"))).alias("speed_up"))
+
+
+@query(f"""WITH {LOG}, x AS (SELECT *, coalesce(lead(tm) OVER (PARTITION BY domain ORDER BY tm, seq), 9e18) AS nxt FROM log), d AS (SELECT domain, tm AS since, CAST(seq % 50 AS DOUBLE) AS delay FROM log WHERE failed AND seq % 20 = 0)
+       SELECT seq, coalesce((SELECT max(delay) FROM d WHERE d.domain = x.domain AND since <= nxt), 0) AS delay FROM x""")
+def learned_delays(spark, sf_dir):
+    """Crawl delays that become known while requests go on."""
+    log = request_log(spark, sf_dir)
+    learned = log.where("failed and seq % 20 = 0").select("domain", F.col("at").alias("since"), (F.col("seq") % 50).cast("double").alias("delay"))
+    return schedule.learned_delays(log, learned).select("seq", "delay")
+
+
+STATES = "s AS (SELECT tm - lo AS a, tm - lo + CAST(floor(held * 60) AS BIGINT) AS b, tm - lo + CAST(floor(held * 60) AS BIGINT) + 900 AS c, failed FROM log, (SELECT min(tm) AS lo FROM log))"
+
+
+@query(f"""WITH {LOG}, {STATES}, e AS (SELECT max(c) AS e FROM s), t AS (SELECT least(k * 86400, e) AS t FROM e, (SELECT unnest(generate_series(1, (SELECT ceil(e / 86400)::BIGINT FROM e))) AS k))
+       SELECT t AS elapsed, count(*) FILTER (c <= t AND NOT failed) AS processed, count(*) FILTER (c <= t AND failed) AS failed, count(*) FILTER (a <= t AND b > t) AS queued, count(*) FILTER (b <= t AND c > t) AS in_progress, round(count(*) FILTER (c <= t) / t::DOUBLE, 12) AS pages_per_sec
+       FROM t, s GROUP BY t""")
+def progress_reports(spark, sf_dir):
+    """A report a day, and one at the end."""
+    return metrics.reports(url_states(spark, sf_dir), 86400).withColumn("pages_per_sec", F.round("pages_per_sec", 12))
+
+
+def url_states(spark, sf_dir) -> DataFrame:
+    log = request_log(spark, sf_dir)
+    lo = log.agg(F.min("at")).first()[0]
+    started = F.col("at") - lo + F.floor(F.col("held") * 60)
+    return log.select((F.col("at") - lo).alias("added"), started.alias("started"), (started + 900).alias("finished"), "failed")
+
+
+@query(f"""WITH {LOG}, {STATES} SELECT max(c) AS elapsed, printf('[%6.1fs] processed=%d queued=0 in_progress=0 errors=%d speed=%.2f pages/s', max(c)::DOUBLE, count(*) FILTER (NOT failed), count(*) FILTER (failed), count(*) / max(c)::DOUBLE) AS line FROM s""")
+def last_report(spark, sf_dir):
+    return metrics.report_lines(metrics.reports(url_states(spark, sf_dir), 1 << 40))
+
+
+@query(f"""WITH {LOG} SELECT count(*) AS visited, count(*) FILTER (NOT failed) AS processed, count(*) FILTER (failed) AS failed, min(tm) AS started, max(tm) AS finished, max(tm) - min(tm) AS elapsed,
+       round((count(*) - 1) / (max(tm) - min(tm))::DOUBLE, 12) AS average_rps, count(DISTINCT domain) AS domains, count(*) FILTER (seq % 9 = 0) AS blocked, count(*) AS attempts, CAST(0 AS BIGINT) AS retries, round(count(*) / (max(tm) - min(tm))::DOUBLE, 12) AS pages_per_sec FROM log""")
+def crawl_roll_up(spark, sf_dir):
+    log = request_log(spark, sf_dir)
+    done = log.select(F.when(F.col("failed"), "FetchError: HTTP 500").alias("error"))
+    stats = metrics.crawl_stats(done, log, log.where("seq % 9 = 0"), log.select(F.col("seq").alias("request"), F.lit(1).alias("n"), (~F.col("failed")).alias("success")))
+    return stats.withColumn("average_rps", F.round("average_rps", 12)).withColumn("pages_per_sec", F.round("pages_per_sec", 12))
 
 
 @query(f"WITH {LOG} SELECT coalesce(round((count(*) - 1) / nullif(max(tm) - min(tm), 0)::DOUBLE, 12), 0) AS rate FROM log WHERE tm > 1705000000 - 86400 AND tm <= 1705000000")
@@ -394,20 +649,27 @@ def retry_rules(spark, sf_dir):
     return rows.select("event_id", "status", retry.is_retryable_status(F.col("status")).alias("retryable"), verdict["error_class"].alias("error_class"), retry.backoff_delay(F.col("event_id") % 6 + 1, policy).alias("delay"), retry.rotated_agent(["a", "b", "c"], F.col("event_id")).alias("agent"))
 
 
-@query("SELECT * FROM (VALUES ('120', 120.0::DOUBLE), ('Mon, 01 Jan 2024 00:00:30 GMT', 30.0), ('01 Jan 2023 00:00:00', 0.0), ('soon', NULL), ('-5', NULL), ('', NULL)) t(value, seconds)")
+@query("""SELECT event_id, CASE event_id % 8 WHEN 0 THEN event_id % 500 WHEN 4 THEN greatest(0, event_id % 86400 - 3600) WHEN 5 THEN event_id % 86400 + 18000 WHEN 6 THEN NULL WHEN 7 THEN NULL ELSE event_id % 86400 END::DOUBLE AS seconds FROM events""")
 def retry_after(spark, sf_dir):
-    rows = spark.createDataFrame([("120",), ("Mon, 01 Jan 2024 00:00:30 GMT",), ("01 Jan 2023 00:00:00",), ("soon",), ("-5",), ("",)], "value string")
-    return rows.select("value", retry.parse_retry_after(F.col("value"), F.lit(1704067200.0)).alias("seconds"))
-
+    """Seconds, the three date forms, zones by number and name, and what is none of them."""
+    n = F.col("event_id")
+    s = n % 86400
+    clock = F.format_string("%02d:%02d:%02d", F.floor(s / 3600), F.floor(s / 60) % 60, s % 60)
+    forms = [(n % 500).cast("string"), joined("Mon, 01 Jan 2024 ", clock, " GMT"), joined("Mon Jan  1 ", clock, " 2024"), joined(" Monday, 01-Jan-24 ", clock, " GMT "), joined("Mon, 1 Jan 2024 ", clock, " +0100"), joined("01 Jan 2024 ", clock, " EST"), F.lit("-5"), joined("soon ", n)]
+    return table(spark, sf_dir, "events").select("event_id", retry.parse_retry_after(F.element_at(F.array(*forms), (n % 8 + 1).cast("int")), F.lit(1704067200.0)).alias("seconds"))
 
-SCRIPTS = {"a": [500, 500, 200], "b": [404], "c": [503], "d": [429, 429, 200]}
 
-
-@query("SELECT * FROM (VALUES ('a', true, 200, 3, '0.0|0.5|1.5'), ('b', false, 404, 1, '0.0'), ('c', false, 503, 4, '0.0|0.5|1.5|3.5'), ('d', true, 200, 3, '0.0|0.5|1.5')) t(url, success, status, attempts, times)")
+@query("""SELECT event_id, event_id % 5 IN (0, 3, 4) AS success, CAST([200, 404, 503, 200, 200][event_id % 5 + 1] AS INT) AS status, CAST([3, 1, 4, 3, 2][event_id % 5 + 1] AS INT) AS attempts,
+       ['0.0|0.5|1.5', '0.0', '0.0|0.5|1.5|3.5', '0.0|0.5|1.5', '0.0|' || (event_id % 7 + 1) || '.0'][event_id % 5 + 1] AS times FROM events""")
 def retry_outcome(spark, sf_dir):
-    rows = spark.createDataFrame([(u, [(s, None, None) for s in script]) for u, script in SCRIPTS.items()], "url string, replies array<struct<status:int,raised:string,retry_after:double>>")
-    out = rows.select("url", retry.retry_timeline(F.col("replies"), retry.Policy(backoff_jitter=0.0)).alias("o"))
-    return out.select("url", "o.success", "o.status", "o.attempts", F.array_join(F.col("o.times").cast("array<string>"), "|").alias("times"))
+    def reply(status, after=None):
+        return F.struct(F.lit(status).alias("status"), F.lit(None).cast("string").alias("raised"), (F.lit(None) if after is None else after).cast("double").alias("retry_after"))
+
+    n = F.col("event_id")
+    scripts = [[reply(500), reply(500), reply(200)], [reply(404)], [reply(503)], [reply(429), reply(429), reply(200)], [reply(429, n % 7 + 1), reply(200)]]
+    script = F.element_at(F.array(*[F.array(*x) for x in scripts]), (n % 5 + 1).cast("int"))
+    out = table(spark, sf_dir, "events").select("event_id", retry.retry_timeline(script, retry.Policy(backoff_jitter=0.0)).alias("o"))
+    return out.select("event_id", "o.success", "o.status", "o.attempts", F.array_join(F.col("o.times").cast("array<string>"), "|").alias("times"))
 
 
 @query("""WITH a AS (SELECT user_id * 1000 + CAST(floor(epoch(ts) / 3600) AS BIGINT) % 1000 AS request, event_id AS n, event_type <> 'error' AS success FROM events),
@@ -421,7 +683,7 @@ def http_counters(spark, sf_dir):
 # ---------------------------------------------------------------- sinks and streams
 @query(f"SELECT page_id, url, CASE WHEN page_id % 2 = 1 THEN 'odd' END AS odd, {TITLE} AS title FROM pages")
 def jsonl_roundtrip(spark, sf_dir):
-    rows = parsed_pages(spark, sf_dir).select("page_id", "url", F.when(F.col("page_id") % 2 == 1, "odd").alias("odd"), "page.title")
+    rows = parsed_pages(spark, sf_dir, "title").select("page_id", "url", F.when(F.col("page_id") % 2 == 1, "odd").alias("odd"), "page.title")
     path = f"{shared_dir(spark)}/tidecrawl/jsonl-{uuid.uuid4().hex}"
     sinks.save_jsonl(rows, path)
     return spark.read.schema(rows.schema).json(path)
@@ -435,3 +697,11 @@ def stream_dedup(spark, sf_dir):
 @query("SELECT CAST(floor(epoch(ts) / 86400) * 86400 AS BIGINT) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_rate(spark, sf_dir):
     return streams.drained(streams.rates_by_window(streams.read_events(spark, f"{sf_dir}/events.parquet"), "1 day"), "complete")
+
+
+@query(f"WITH {LOG}, l AS (SELECT *, 7200 AS gap FROM log), {SPACED.format(key='domain')} SELECT seq, CAST(granted AS BIGINT) AS granted, CAST(granted - tm AS BIGINT) AS waited FROM g")
+def stream_spacing(spark, sf_dir):
+    """Spacing as a stateful operator, each domain's next slot kept between batches."""
+    events = streams.read_events(spark, f"{sf_dir}/events.parquet")
+    log = events.select(F.col("user_id").cast("string").alias("domain"), F.unix_seconds("ts").alias("at"), F.col("event_id").alias("seq"), "ts")
+    return streams.drained(streams.paced(log, 7200), "update")

@@ -285,3 +285,42 @@ def test_header_dates(spark):
 def test_random_agents(spark):
     rows = spark.range(300).select(retry.rotated_agent(["a", "b", "c"], F.col("id"), 7).alias("x"), retry.rotated_agent(["a", "b", "c"], F.col("id"), 7).alias("y")).collect()
     assert all(r.x == r.y for r in rows) and all(60 < sum(r.x == a for r in rows) < 140 for a in "abc")
+
+
+def test_learned_delays_in_stretches(spark):
+    rng = random.Random(5)
+    log = [(i, rng.choice("aaab"), rng.randrange(40)) for i in range(60)]
+    learned = [(rng.choice("aabc"), rng.randrange(50), float(rng.randrange(9))) for _ in range(15)]
+    want = {}
+    for domain in "ab":
+        own = sorted((at, seq) for seq, d, at in log if d == domain)
+        for (_, seq), following in zip(own, [at for at, _ in own[1:]] + [float("inf")]):
+            want[seq] = max([delay for d, since, delay in learned if d == domain and since <= following], default=0.0)
+    rows, known = spark.createDataFrame(log, "seq long, domain string, at long"), spark.createDataFrame(learned, "domain string, since long, delay double")
+    for most in (schedule.MOST, 7):
+        assert {r.seq: r.delay for r in schedule.learned_delays(rows, known, most).collect()} == want
+    assert {r.delay for r in schedule.learned_delays(rows, known.limit(0)).collect()} == {0.0}
+    assert schedule.learned_delays(rows.limit(0), known).count() == 0
+
+
+def test_trailing_rates_over_spans(spark):
+    rng = random.Random(6)
+    log = [(i, rng.choice("aaab"), rng.randrange(-30, 60)) for i in range(80)]
+    want = {}
+    for seq, domain, at in log:
+        met = [t for _, d, t in log if d == domain and at - 10 < t <= at]
+        want[seq] = (len(met), (len(met) - 1) / (at - min(met)) if at > min(met) else 0.0)
+    found = metrics.trailing_rates(spark.createDataFrame(log, "seq long, domain string, at long"), 10)
+    assert found.columns == ["seq", "domain", "at", "n_recent", "rate_recent"]
+    assert {r.seq: (r.n_recent, r.rate_recent) for r in found.collect()} == want
+
+
+def test_capped_heads_with_active_ones(spark):
+    queue = [(h, i, i % 3) for i, h in enumerate("aaaabbbc")]
+    active = {"a": 1, "b": 2}
+    want = []
+    for host in "abc":
+        want += sorted((-p, seq, host) for h, seq, p in queue if h == host)[: 2 - active.get(host, 0)]
+    found = frontier.capped_heads(spark.createDataFrame(queue, "host string, seq int, priority int"), spark.createDataFrame(list(active.items()), "host string, n int"), 2, 10)
+    assert [(r.host, r.seq) for r in found.collect()] == [(host, seq) for _, seq, host in sorted(want)]
+    assert "WindowGroupLimit" in found._jdf.queryExecution().executedPlan().toString()

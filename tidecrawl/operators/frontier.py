@@ -232,5 +232,6 @@ def capped_heads(queue: DataFrame, active: DataFrame, cap: int, top: int) -> Dat
     if cap < 1:
         raise ValueError("max_per_domain must be 1 or more")
     own = Window.partitionBy("host").orderBy(F.desc("priority"), "seq")
-    rows = queue.withColumn("_k", F.row_number().over(own)).join(active.select("host", F.col("n").alias("_n")), "host", "left")
+    heads = queue.withColumn("_k", F.row_number().over(own)).where(F.col("_k") <= cap)  # cut before the shuffle too
+    rows = heads.join(active.select("host", F.col("n").alias("_n")), "host", "left")
     return rows.where(F.col("_k") <= cap - F.coalesce("_n", F.lit(0))).orderBy(F.desc("priority"), "seq").limit(top).drop("_k", "_n")

@@ -68,10 +68,9 @@ def crawl_stats(pages: DataFrame, log: DataFrame, blocked: DataFrame, attempts:
     """
     done = pages.agg(F.count("*").alias("visited"), F.count_if(F.col("error").isNull()).alias("processed"), F.count_if(F.col("error").isNotNull()).alias("failed"))
     rate = log.agg(F.coalesce(actual_rate(), F.lit(0.0)).alias("average_rps"), F.countDistinct("domain").alias("domains"))
-    parts = [done, timers(log), rate, blocked.agg(F.count("*").alias("blocked")), http_counters(attempts).select("attempts", "retries")]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.crossJoin(part)  # of one row each
+    parts = [timers(log), rate, blocked.agg(F.count("*").alias("blocked")), http_counters(attempts).select("attempts", "retries")]
+    out = done.withColumns({f"_{i}": part.select(F.struct("*")).scalar() for i, part in enumerate(parts)})  # of one row each
+    out = out.select(*done.columns, *[f"_{i}.*" for i in range(len(parts))])
     return out.withColumn("pages_per_sec", throughput(F.col("processed") + F.col("failed"), F.col("elapsed")))
 
 
@@ -113,10 +112,17 @@ def current_rate(log: DataFrame, now: float, window: float = 10.0) -> DataFrame:
 
 
 def trailing_rates(log: DataFrame, window: int) -> DataFrame:
-    """log(domain, at as integer, ...) plus n_recent and rate_recent over (at - window, at] of its domain."""
-    own = Window.partitionBy("domain").orderBy("at").rangeBetween(-(window - 1), 0)
+    """log(domain, at as integer, ...) plus n_recent and rate_recent over (at - window, at] of its domain.
+
+    Time is cut into spans of one window. A row's frame lies in its own span and the one before, so a task sorts two
+    spans of a domain, however long the log is; only the times of the earlier span go along.
+    """
+    rows = log.withColumn("_row", F.struct(*log.columns)).withColumn("_span", F.floor(F.col("at") / window))
+    rows = rows.select("domain", "at", "_span", "_row").unionByName(rows.select("domain", "at", F.col("_span") + 1, F.lit(None).alias("_row")).toDF("domain", "at", "_span", "_row"))
+    own = Window.partitionBy("domain", "_span").orderBy("at").rangeBetween(-(window - 1), 0)
     rate = F.try_divide(F.count("*").over(own) - 1, F.col("at") - F.min("at").over(own))
-    return log.withColumn("n_recent", F.count("*").over(own)).withColumn("rate_recent", F.coalesce(rate, F.lit(0.0)))
+    rows = rows.withColumn("n_recent", F.count("*").over(own)).withColumn("rate_recent", F.coalesce(rate, F.lit(0.0)))
+    return rows.where("_row is not null").select("_row.*", "n_recent", "rate_recent")
 
 
 def gaps(log: DataFrame, most: int = MOST) -> DataFrame:

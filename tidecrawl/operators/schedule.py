@@ -55,16 +55,23 @@ def polite_gap(interval: float, min_delay: float, crawl_delay: Column, jitter: f
     return base + F.rand(seed) * jitter if jitter else base
 
 
-def learned_delays(log: DataFrame, learned: DataFrame) -> DataFrame:
-    """log(domain, at, ...) plus delay: the largest of learned(domain, since, delay) known at the next request.
+def learned_delays(log: DataFrame, learned: DataFrame, most: int = MOST) -> DataFrame:
+    """log(domain, at, seq, ...) plus delay: the largest of learned(domain, since, delay) known at the next request.
 
     A delay learned later also pushes back the slot after a request that is already out, so each request takes the
-    delays known when the next one arrives.
+    delays known when the next one arrives. Requests and delays share one order, in which the delay is a running
+    maximum; a domain of more than most of them is cut into stretches.
     """
-    own = Window.partitionBy("domain").orderBy("at", "seq")
-    rows = log.withColumn("_next", F.coalesce(F.lead("at").over(own), F.lit(float("inf"))))
-    met = rows.join(learned.withColumnRenamed("domain", "_d"), (F.col("domain") == F.col("_d")) & (F.col("since") <= F.col("_next")), "left")
-    return met.groupBy(*log.columns).agg(F.coalesce(F.max("delay"), F.lit(0.0)).alias("delay"))
+    back, cut = stretched(log.withColumns({"_at": -F.col("at").cast("double"), "_seq": -F.col("seq")}), ["domain"], ["_at", "_seq"], most)
+    back = back.withColumn("_lag", F.lag("_at").over(Window.partitionBy("domain", "_part").orderBy("_at", "_seq")))
+    back = handed_on(back, cut, ["domain"], F.lit(0), F.max("_at"))
+    following = F.coalesce(-F.coalesce("_lag", "_lead"), F.lit(float("inf")))
+    asked = back.select("domain", following.alias("_t"), F.lit(1).alias("_kind"), F.lit(None).cast("double").alias("_delay"), F.struct(*log.columns).alias("_row"))
+    known = learned.select("domain", F.col("since").cast("double").alias("_t"), F.lit(0).alias("_kind"), F.col("delay").cast("double").alias("_delay"), F.lit(None).alias("_row"))
+    rows, cut = stretched(asked.unionByName(known), ["domain"], ["_t", "_kind"], most)
+    own = Window.partitionBy("domain", "_part").orderBy("_t", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    rows = handed_on(rows.withColumn("_max", F.max("_delay").over(own)), cut, ["domain"], F.lit(0), F.max("_delay"))
+    return rows.where("_row is not null").select("_row.*", F.coalesce(F.greatest("_max", "_lead"), F.lit(0.0)).alias("delay"))
 
 
 def coupled_limits(log: DataFrame, host_interval: float, global_interval: float, burst: int = 1) -> DataFrame:

@@ -14,5 +14,5 @@ def save_jsonl(pages: DataFrame, path: str, single_file: bool = False) -> None:
 
 def listing(rows: DataFrame, order: str, most: int) -> DataFrame:
     """The first rows for a report, and with each the number that is left out."""
-    total = rows.agg(F.greatest(F.count("*") - most, F.lit(0)).alias("n_more"))  # one row
-    return rows.orderBy(order).limit(most).crossJoin(F.broadcast(total))
+    more = rows.agg(F.greatest(F.count("*") - most, F.lit(0))).scalar()
+    return rows.orderBy(order).limit(most).withColumn("n_more", more)

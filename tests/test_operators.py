@@ -138,6 +138,16 @@ def test_bodies_are_read_for_hits_only(spark):
     assert "bitmap_construct_agg" in plan.lower().replace("bitmapconstructagg", "bitmap_construct_agg") and "broadcast" in plan and found.first().status == 200
 
 
+def test_which_page_of_an_address_is_fetched(spark):
+    asked = spark.createDataFrame([("http://pier.test/",)], "url string")
+    rows = [("http://pier.test/", "late rope", 9), ("http://pier.test/", "sail", 4), ("http://pier.test/", "oar", 7)]
+    for shift in range(3):
+        pages = spark.createDataFrame(rows[shift:] + rows[:shift], "url string, html string, nth int").coalesce(1)
+        assert fetch.fetch(asked, pages, "nth").first().body == "sail"
+        assert len({fetch.fetch(asked, pages.repartition(k)).first().body for k in (1, 2, 3)}) == 1
+    assert fetch.fetch(asked, spark.createDataFrame([("http://pier.test/", None, 1)], "url string, html string, nth int")).first().success
+
+
 def test_token_bucket(spark):
     def grants(times, interval, burst):
         log = spark.createDataFrame([("h", i, t) for i, t in enumerate(times)], "key string, seq int, at long")

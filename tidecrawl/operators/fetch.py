@@ -16,10 +16,11 @@ from tidecrawl.operators.tables import written
 
 
 class Corpus:
-    """pages with one address for each URL key: the least. Of rows with that address any one stands for it."""
+    """pages with one address for each URL key: the least. Of rows with that address the first by the column order
+    stands for it; without one, the least by status, error, digest of the body and headers."""
 
-    def __init__(self, pages: DataFrame) -> None:
-        self.pages = pages
+    def __init__(self, pages: DataFrame, order: str | None = None) -> None:
+        self.pages, self.order = pages, order
         keyed = pages.select(normalize_url("url").alias("url_key"), "url").where("url_key is not null")
         self.index = written(keyed.groupBy("url_key").agg(F.min("url").alias("page_url")), "corpus")
 
@@ -32,9 +33,11 @@ class Corpus:
             (F.col("html") if "html" in have else F.col("body")).alias("body"),
             (F.col("headers") if "headers" in have else F.create_map().cast("map<string,string>")).alias("headers"),
             (F.col("error") if "error" in have else F.lit(None)).cast("string").alias("error"),
+            *([F.col(self.order).alias("nth")] if self.order else []),
         )
+        nth = F.struct("nth") if self.order else F.struct("status", "error", F.md5("body"), F.col("headers").cast("string"))
         met = likely(rows, "page_url", bitmap_of(asked.where("page_url is not null"), "page_url"))
-        return met.groupBy("page_url").agg(F.first(F.struct("status", "body", "headers", "error")).alias("r")).select("page_url", "r.*")
+        return met.groupBy("page_url").agg(F.min_by(F.struct("status", "body", "headers", "error"), nth).alias("r")).select("page_url", "r.*")
 
     def fetch(self, urls: DataFrame) -> DataFrame:
         """All columns of urls(url, ...) plus url_key, success, status, body, headers, error.
@@ -51,14 +54,14 @@ class Corpus:
         return got.select(*urls.columns, "url_key", reason.isNull().alias("success"), status.alias("status"), body, F.coalesce("headers", F.create_map().cast("map<string,string>")).alias("headers"), reason.alias("error"))
 
 
-def fetch(urls: DataFrame, pages: DataFrame) -> DataFrame:
-    return Corpus(pages).fetch(urls)
+def fetch(urls: DataFrame, pages: DataFrame, order: str | None = None) -> DataFrame:
+    return Corpus(pages, order).fetch(urls)
 
 
-def fetch_many(spark, urls: list[str] | DataFrame, pages: DataFrame) -> DataFrame:
+def fetch_many(spark, urls: list[str] | DataFrame, pages: DataFrame, order: str | None = None) -> DataFrame:
     """A row for each address of the list, or of a table (pos, url), in its order; repeated ones are fetched each time."""
     asked = urls if isinstance(urls, DataFrame) else spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "pos int, url string")
-    return fetch(asked, pages).orderBy("pos")
+    return fetch(asked, pages, order).orderBy("pos")
 
 
 def bodies(fetched: DataFrame) -> DataFrame:

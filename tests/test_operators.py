@@ -254,6 +254,16 @@ def test_peaks(spark):
     assert {r.domain: r.peak for r in metrics.concurrency_peaks(slots).collect()} == {"a": 2, "b": 1, None: 3}
 
 
+def test_places_like_python(spark):
+    figures = [4.125, 35281.125, 0.375, 1.005, 1.015, 2.675, 8.345, 0.0, 1e6, 99.995, -0.125]
+    got = {r.x: r.y for r in spark.createDataFrame([(x,) for x in figures], "x double").select("x", metrics.places("x", 2).alias("y")).collect()}
+    assert got == {x: f"{x:.2f}" for x in figures}
+    log = spark.createDataFrame([("pier", t, t % 8) for t in (0, 33, 66, 99, 132, 165, 198, 265)] + [("quay", 0, 3)], "domain string, at long, waited long")
+    lines = {r.domain: r.line for r in metrics.summary_line(metrics.domain_stats(log)).collect()}
+    assert lines["pier"] == f"pier: 8 requests, wait {22 / 8:.2f} s, interval {265 / 7:.2f} s" and lines["quay"] == "quay: 1 requests, wait 3.00 s, interval - s"
+    assert "wait 4.12 s" in metrics.summary_line(metrics.domain_stats(log.withColumn("waited", F.lit(4.125)))).where("domain = 'pier'").first().line
+
+
 def test_queue(spark):
     offers = spark.createDataFrame([(0, "http://x.test/a", 0), (1, "http://x.test/high", 9), (2, "http://x.test/a/", 0), (3, "http://x.test/b", 0)], "seq int, url string, priority int")
     assert [r.url[-1] for r in frontier.queue_order(offers).collect()] == ["h", "a", "b"]

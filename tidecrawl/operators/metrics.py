@@ -9,6 +9,12 @@ from tidecrawl.functions.urls import normalize_url
 from tidecrawl.operators.stretches import MOST, earlier, handed_on, stretched
 
 
+def places(number: Column | str, n: int) -> Column:
+    """A number with n decimal places, from its exact binary value and half to even, as C and Python print it; Java's
+    %f, and so format_string, rounds the shortest decimal form half up."""
+    return F.call_function("format_number", F.col(number) if isinstance(number, str) else number, F.lit(f"0.{'0' * n}"))
+
+
 def pages_by_depth(pages: DataFrame) -> DataFrame:
     return pages.groupBy("depth").agg(F.count("*").alias("n")).orderBy("depth")
 
@@ -53,7 +59,7 @@ def violations(log: DataFrame, limit: float | None, total_limit: float | None =
 
 def violation_lines(found: DataFrame) -> DataFrame:
     """violations() as text."""
-    return found.select("domain", F.format_string("%s: %.2f rps > limit %s", F.coalesce("domain", F.lit("global")), "rate", F.col("limit").cast("string")).alias("line"))
+    return found.select("domain", F.format_string("%s: %s rps > limit %s", F.coalesce("domain", F.lit("global")), places("rate", 2), F.col("limit").cast("string")).alias("line"))
 
 
 def timers(log: DataFrame) -> DataFrame:
@@ -102,7 +108,7 @@ def reports(states: DataFrame, interval: int) -> DataFrame:
 
 def report_lines(reports: DataFrame) -> DataFrame:
     """reports() as text."""
-    line = F.format_string("[%6.1fs] processed=%d queued=%d in_progress=%d errors=%d speed=%.2f pages/s", F.col("elapsed").cast("double"), "processed", "queued", "in_progress", "failed", "pages_per_sec")
+    line = F.format_string("[%6ss] processed=%d queued=%d in_progress=%d errors=%d speed=%s pages/s", places(F.col("elapsed").cast("double"), 1), "processed", "queued", "in_progress", "failed", places("pages_per_sec", 2))
     return reports.select("elapsed", line.alias("line"))
 
 
@@ -184,5 +190,5 @@ def progress(pages: DataFrame, queued: int, in_progress: int, elapsed: float) ->
 
 def summary_line(stats: DataFrame) -> DataFrame:
     """domain_stats() as text; - for what is unknown."""
-    show = lambda c: F.coalesce(F.format_string("%.2f", c), F.lit("-"))
+    show = lambda c: F.coalesce(places(c, 2), F.lit("-"))
     return stats.select("domain", F.format_string("%s: %d requests, wait %s s, interval %s s", F.coalesce("domain", F.lit("total")), "requests", show("avg_wait"), show("avg_interval")).alias("line"))

@@ -236,6 +236,14 @@ def test_decontamination(spark, block):
     assert decontam.match_documents(docs.limit(0), bench).count() == 0
 
 
+def test_decontamination_in_one_worker(spark):
+    """All blocks of a plan go through one Python worker, which gives its memory back."""
+    bench = spark.createDataFrame([(k, f"rope {k} sail oar pier") for k in range(3)], "item_id long, text string")
+    found = decontam.match_documents(table(spark, ["at rope 2 sail oar pier", "rope 4 sail"]), bench, 10, 8)
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert [(r.n_hit, r.n_items) for r in found.orderBy("doc_id").collect()] == [(5, 1), (0, 0)]
+
+
 @pytest.mark.parametrize("block", [4 << 20, 40])
 def test_decontamination_null_ids(spark, block):
     """Passages of items without an id count like the query's SQL does it: one item, absent from the digest."""

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecrawl.llm.common import slices
+from tidecrawl.llm.common import chained, slices
 
 CACHE_BYTES = 64 << 20  # of remembered pre-tokens and their ids
 ENTRY = 200  # bytes that an entry takes besides
@@ -149,7 +149,7 @@ def encode_documents(docs: DataFrame, rank_path: str, pattern: str, with_ids: bo
             yield pa.RecordBatch.from_arrays(out, names=[*keep, *made])
 
     ddl = ", ".join([f"`{c}` {kinds[c]}" for c in keep] + ["ids array<int>"] * with_ids + ["n_tokens long", "ids_sha256 string", "decoded_sha256 string"])
-    return docs.select(*keep).mapInArrow(run, ddl)
+    return docs.select(*keep).mapInArrow(chained(run), ddl)
 
 
 def decode_documents(rows: DataFrame, rank_path: str) -> DataFrame:

@@ -16,10 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecrawl.llm.common import U, flat, hashed_words, mix, separators, slices, stage, unused
+from tidecrawl.llm.common import U, chained, flat, hashed_words, mix, separators, slices, stage, unused
 
 WORD = separators((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F))
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 GRAM = 3
 ROUND = 8  # blocks of the benchmark that one plan passes through
 
@@ -206,14 +206,13 @@ def _matched(docs: DataFrame, benchmark: DataFrame, width: int, block_bytes: int
     made = unused(keep, "words", "spans", "items")
     passed = ", ".join(f"`{c}` {kinds[c]}" for c in dict.fromkeys([*keep, "text"]))
     carried = list(dict.fromkeys([*keep, "text"]))
-    now = docs.select(carried)
+    now, passes = docs.select(carried), []
     for i, block in enumerate(blocks_of(benchmark, width, block_bytes)):
-        if i and i % ROUND == 0:
-            now = stage(now, "matched")
-        sent = docs.sparkSession.sparkContext.broadcast(block)
-        now = now.mapInArrow(spans_pass(sent, width, carried, made, i == 0), f"{passed}, `{made[0]}` long, `{made[1]}` binary, `{made[2]}` array<string>")
+        if len(passes) == ROUND:
+            now, passes = stage(now.mapInArrow(chained(*passes), f"{passed}, `{made[0]}` long, `{made[1]}` binary, `{made[2]}` array<string>"), "matched"), []
+        passes.append(spans_pass(docs.sparkSession.sparkContext.broadcast(block), width, carried, made, i == 0))
     ddl = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), *(f"`{n}` {t}" for n, t in zip(names, ("long", "long", "long", "string", "binary")))])
-    return now.mapInArrow(report(keep, made, names), ddl)
+    return now.mapInArrow(chained(*passes, report(keep, made, names)), ddl)
 
 
 def match_documents(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = 4 << 20) -> DataFrame:
@@ -275,6 +274,6 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, width: int = 10, bloc
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = None
     for block in blocks_of(benchmark, width, block_bytes):
-        part = rows.mapInArrow(found(block), "doc_id long, doc_start long, item_id string, item_start long, n_words long")
+        part = rows.mapInArrow(chained(found(block)), "doc_id long, doc_start long, item_id string, item_start long, n_words long")
         out = part if out is None else out.unionByName(part)
     return out

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecrawl.llm.common import U, bitmap_of, components, flat, hashed_words, likely, mix, separators, slices, stage, unstage, without
+from tidecrawl.llm.common import U, bitmap_of, chained, components, flat, hashed_words, likely, mix, separators, slices, stage, unstage, without
 
 WORD = separators((0x20, 0x20), (0x09, 0x0D))
 SLICE_BYTES = 2 << 20
@@ -110,7 +110,7 @@ def common_order(rows: DataFrame, k: int, most: int) -> Order:
                 tokens, n = tokens[n >= LOCAL], n[n >= LOCAL]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), word)), pa.array(tokens.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "token", "n"])
 
-    counts = rows.select("text").mapInArrow(count, "word boolean, token long, n long").groupBy("word", "token").agg(F.sum("n").alias("n"))
+    counts = rows.select("text").mapInArrow(chained(count), "word boolean, token long, n long").groupBy("word", "token").agg(F.sum("n").alias("n"))
     counts = stage(counts.where(F.col("n") >= COMMON), "counts")
     lists = []
     for word in (True, False):
@@ -301,7 +301,7 @@ def classified(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
     order = common_order(rows, k, MOST_COMMON)
     order = docs.sparkSession.sparkContext.broadcast((order.words, order.shingles))
-    sets = stage(rows.mapInArrow(lambda b: signed(b, k, Order(*order.value), num, den), SETS_DDL), "sets")
+    sets = stage(rows.mapInArrow(chained(lambda b: signed(b, k, Order(*order.value), num, den)), SETS_DDL), "sets")
     first = F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "th")).alias("first")
     classes = stage(sets.where("cid is not null").groupBy("cid", "cid2").agg(F.min("uid").alias("vid"), first), "classes")
 
@@ -339,10 +339,10 @@ def classified(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     candidates = stage(work.join(classes, "cid").select("vid", "cid", "cid2", "work", *document_key("first.doc_id"), "first.th"), "candidates")
     texts = likely(rows, "th", bitmap_of(candidates, "th")).groupBy(*document_key("doc_id"), "th").agg(F.first("text").alias("text"))
     texts = texts.join(candidates.hint("merge"), ["no_id", "id", "th"])  # how many there are grows with docs: no broadcast
-    found = texts.mapInArrow(lambda b: tokenised(b, k), "vid long, work array<struct<g:long,part:int,salt:int,asks:boolean>>, tokens binary")
+    found = texts.mapInArrow(chained(lambda b: tokenised(b, k)), "vid long, work array<struct<g:long,part:int,salt:int,asks:boolean>>, tokens binary")
     found = found.select("vid", F.explode("work").alias("at"), "tokens").select("at.*", "vid", "tokens")
     found = found.repartition("g", "part", "salt").sortWithinPartitions("g", "part", "salt", "asks")
-    edges = stage(found.mapInArrow(lambda b: opened(b, num, den), "a long, b long"), "links")
+    edges = stage(found.mapInArrow(chained(lambda b: opened(b, num, den)), "a long, b long"), "links")
     unstage(candidates, asks, home)
 
     roots = components(edges).withColumnRenamed("v", "vid")

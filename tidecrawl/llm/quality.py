@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecrawl.llm.common import bitmap_of, likely, slices, unused
+from tidecrawl.llm.common import bitmap_of, chained, likely, slices, unused
 
 STATS = ("chars", "words", "word_length", "long_words", "upper", "digits", "symbols", "points", "bars", "lines", "distinct", "top_word", "adjacent", "capital", "odd_ends", "repeated_lines", "high_bytes")
 SYMBOLS = np.zeros(256, bool)
@@ -68,7 +68,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
             ends = np.arange(0, rows.size + 1, len(STATS), dtype=np.int32)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(rows.ravel()))], names=["doc_id", "stats"])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, stats array<double>")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(chained(run), "doc_id long, stats array<double>")
 
 
 @dataclass
@@ -113,7 +113,7 @@ def moments(rows: DataFrame) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
         some = np.flatnonzero(flat)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(flat[some])], names=["cell", "v"])
 
-    cells = rows.select("stats", F.col("quality").cast("int").alias("quality")).mapInArrow(run, "cell long, v double").groupBy("cell").agg(F.sum("v").alias("v"))
+    cells = rows.select("stats", F.col("quality").cast("int").alias("quality")).mapInArrow(chained(run), "cell long, v double").groupBy("cell").agg(F.sum("v").alias("v"))
     total = np.zeros(2 * d * d)
     for r in cells.collect():
         total[r.cell] = r.v
@@ -155,7 +155,7 @@ def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
             x = np.array([statistics(t) for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(x))], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in kinds.items()) + f", `{name}` double")
+    return docs.mapInArrow(chained(run), ", ".join(f"`{c}` {t}" for c, t in kinds.items()) + f", `{name}` double")
 
 
 def held_out(doc_id="doc_id", parts: int = 4, part: int = 2):
